@@ -48,15 +48,39 @@ NOUN_SUFFIX_RULES = [
 ]
 
 
-def coherence_stop_words() -> list[str]:
-    """Default stop words for the coherence tokeniser: Spark's English list.
+# Default stop words of the coherence tokeniser -- Spark's own
+# English list (``StopWordsRemover.loadDefaultStopWords("english")``, 181
+# words, natural order).  Written out so SQL oracles can be built without a
+# running JVM.
+SPARK_ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you",
+    "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them",
+    "their", "theirs", "themselves", "what", "which", "who", "whom", "this",
+    "that", "these", "those", "am", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "a", "an", "the", "and", "but", "if", "or", "because", "as", "until",
+    "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to",
+    "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "any", "both", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too",
+    "very", "s", "t", "can", "will", "just", "don", "should", "now", "i'll",
+    "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd", "he'd",
+    "she'd", "we'd", "they'd", "i'm", "you're", "he's", "she's", "it's",
+    "we're", "they're", "i've", "we've", "you've", "they've", "isn't",
+    "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "don't",
+    "doesn't", "didn't", "won't", "wouldn't", "shan't", "shouldn't",
+    "mustn't", "can't", "couldn't", "cannot", "could", "here's", "how's",
+    "let's", "ought", "that's", "there's", "what's", "when's", "where's",
+    "who's", "why's", "would",
+]
 
-    The list is a parameter of :func:`word_tokens`; callers that need another
-    list pass it explicitly.
-    """
-    from pyspark.ml.feature import StopWordsRemover
 
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
+def coherence_stop_words() -> list[str]:
+    """Default stop words for the coherence tokeniser (a parameter of :func:`word_tokens`)."""
+    return list(SPARK_ENGLISH_STOP_WORDS)
 
 
 def _col(c) -> Column:
@@ -209,18 +233,16 @@ def lemmatize_tokens(df: DataFrame, id_col: str, tokens_col: str, table: DataFra
     """Apply a (token, lemma) table to an array column, keeping token order.
 
     Tokens are exploded with their position, looked up with an equi-join on
-    the token, and put back per note.  The join is a hash join (broadcast
-    when Spark's size estimate allows), the regroup is per note and bounded by
-    the note's length.
+    the token (the table is one row per changed vocabulary word), and put
+    back per note; the regroup holds one note at a time.  Notes without
+    tokens come back with an empty list.  Returns (id_col, out_col).
     """
     ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
     looked = ex.join(table, "token", "left") \
         .select(id_col, "pos", F.coalesce("lemma", "token").alias("w"))
     back = looked.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("pos", "w")))).alias("pw"))
-    back = back.select(id_col, F.transform("pw", lambda x: x["w"]).alias(out_col))
-    return df.join(back, id_col, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>")))
+    return back.select(id_col, F.transform("pw", lambda x: x["w"]).alias(out_col))
 
 
 def preprocess_notes(df: DataFrame, id_col: str, text_col: str,
@@ -237,5 +259,5 @@ def preprocess_notes(df: DataFrame, id_col: str, text_col: str,
         return base.withColumn(out_col, join_tokens("tokens"))
     flat = base.select(F.explode("tokens").alias("token"))
     table = lemma_table(flat, "token", lemmas)
-    out = lemmatize_tokens(base, id_col, "tokens", table, "lemmas")
+    out = lemmatize_tokens(base.cache(), id_col, "tokens", table, "lemmas")
     return out.select(id_col, F.col("lemmas").alias("tokens"), join_tokens("lemmas").alias(out_col))
