@@ -19,7 +19,8 @@ from notewise.operators.scoring import (best_k, elbow, k_summary, metrics_for, s
 from notewise.operators.search import similarity_vectors
 from notewise.plans.fixtures import corpus_vectors, note_vectors
 from notewise.plans.q_search import _VECS
-from notewise.plans.q_text import sql_note_tokens
+from notewise.operators.coherence import coherence_cv, topic_keywords
+from notewise.plans.q_text import sql_note_tokens, sql_word_tokens
 from notewise.plans.registry import R4, query
 from notewise.sources.tables import load
 
@@ -257,3 +258,153 @@ def project_2d_q(spark, sf_dir):
     """2-D PCA view of the similarity vectors with the fixed clusters."""
     pts = fixed_clusters(spark, sf_dir)
     return project_2d(pts, "query_id", "sims").join(pts.select("query_id", "cluster"), "query_id")
+
+
+# ---------------------------------------------------------------------------
+# Coherence (D13) and the choice of k
+# ---------------------------------------------------------------------------
+
+COH_WINDOW = 110
+COH_TOP_N = 10
+
+
+def _islands_sql(src: str, keys: str) -> str:
+    return f"""(SELECT {keys}, sum(len) AS cnt FROM (
+      SELECT doc, {keys}, island, max(e) - min(s) + 1 AS len FROM (
+        SELECT *, sum(CASE WHEN prev_e IS NULL OR s > prev_e + 1 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY doc, {keys} ORDER BY p ROWS UNBOUNDED PRECEDING) AS island
+        FROM (SELECT *, max(e) OVER (PARTITION BY doc, {keys} ORDER BY p
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_e FROM {src}))
+      GROUP BY ALL) GROUP BY ALL)"""
+
+
+def coherence_sql(docs_cte: str, member_cte: str, window: int = COH_WINDOW, top_n: int = COH_TOP_N) -> str:
+    """CTE text ending in ``coh(topic, n_words, coherence)``.
+
+    ``docs_cte`` defines docs(doc, tk); ``member_cte`` defines mem0(doc, topic).
+    """
+    return f"""{docs_cte},
+{member_cte},
+nw AS (SELECT CAST(sum(CASE WHEN len(tk) >= {window} THEN len(tk) - {window - 1} ELSE 1 END) AS DOUBLE) AS N FROM docs),
+occ0 AS (SELECT doc, len(tk) AS L, unnest(tk) AS word, unnest(range(0, len(tk))) AS p FROM docs),
+wcnt AS (SELECT m.topic, o.word, count(*) AS cnt FROM occ0 o JOIN mem0 m ON m.doc = o.doc GROUP BY ALL),
+words AS (SELECT topic, word FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cnt DESC, word) AS r FROM wcnt)
+          WHERE r <= {top_n}),
+iv AS (SELECT doc, p, word, greatest(p - {window - 1}, 0) AS s, least(p, greatest(L - {window}, 0)) AS e
+       FROM occ0 WHERE word IN (SELECT word FROM words)),
+single AS {_islands_sql('iv', 'word')},
+pairs AS (SELECT a.topic, a.word AS wi, b.word AS wj FROM words a JOIN words b ON a.topic = b.topic AND a.word < b.word),
+pmem AS (SELECT topic, wi, wj, wi AS word FROM pairs UNION ALL SELECT topic, wi, wj, wj AS word FROM pairs),
+iv2 AS (SELECT iv.doc, iv.p, iv.s, iv.e, pmem.topic, pmem.wi, pmem.wj FROM iv JOIN pmem USING (word)),
+pairu AS {_islands_sql('iv2', 'topic, wi, wj')},
+co AS (SELECT b.topic, b.wi, b.wj, si.cnt AS ci, sj.cnt AS cj, si.cnt + sj.cnt - b.cnt AS cij
+       FROM pairu b JOIN single si ON si.word = b.wi JOIN single sj ON sj.word = b.wj),
+allp AS (SELECT topic, wi, wj, ci, cj, cij FROM co
+         UNION ALL SELECT topic, wj, wi, cj, ci, cij FROM co
+         UNION ALL SELECT w.topic, w.word, w.word, s.cnt, s.cnt, s.cnt FROM words w JOIN single s USING (word)),
+np AS (SELECT allp.*, ln((cij / N + 1e-12) / ((ci / N) * (cj / N))) / (-ln(cij / N + 1e-12)) AS npmi
+       FROM allp CROSS JOIN nw),
+cs AS (SELECT topic, wj, sum(npmi) AS cs FROM np GROUP BY ALL),
+pw AS (SELECT np.topic, np.wi, sum(np.npmi * cs.cs) AS dot, sum(np.npmi * np.npmi) AS nn
+       FROM np JOIN cs ON cs.topic = np.topic AND cs.wj = np.wj GROUP BY ALL),
+tn AS (SELECT topic, sum(cs * cs) AS tn FROM cs GROUP BY topic),
+coh AS (SELECT pw.topic, count(*) AS n_words, avg(pw.dot / (sqrt(pw.nn) * sqrt(tn.tn))) AS coherence
+        FROM pw JOIN tn USING (topic) GROUP BY pw.topic)"""
+
+
+def _coh_docs(spark, sf_dir, ids=None):
+    from notewise.functions.text import word_tokens
+
+    docs = load(spark, sf_dir, "documents", spread_by="doc_id").select("doc_id", word_tokens("text").alias("tk"))
+    return docs if ids is None else docs.join(ids, "doc_id", "left_semi")
+
+
+@query("coherence_cv", f"""
+WITH {coherence_sql(f"docs AS (SELECT doc_id AS doc, {sql_word_tokens('text')} AS tk FROM documents)",
+                    "mem0 AS (SELECT doc_id AS doc, doc_id % 6 AS topic FROM documents)")}
+SELECT CAST(topic AS BIGINT) AS topic, CAST(n_words AS BIGINT) AS n_words, {R4('coherence')} AS coherence FROM coh
+""")
+def coherence_cv_q(spark, sf_dir):
+    """C_V per topic over every document; topics = doc_id % 6, top 10 words each."""
+    docs = _coh_docs(spark, sf_dir).persist()
+    member = docs.select("doc_id", (F.col("doc_id") % 6).alias("topic"))
+    kw = topic_keywords(docs, "doc_id", "tk", member, "topic", top_n=COH_TOP_N)
+    out = coherence_cv(docs, "doc_id", "tk", kw, "topic", window=COH_WINDOW)
+    return out.select("topic", "n_words", r4("coherence").alias("coherence"))
+
+
+_SWEEP_COH = coherence_sql(
+    f"docs AS (SELECT doc_id AS doc, {sql_word_tokens('text')} AS tk FROM documents "
+    f"WHERE doc_id IN (SELECT id FROM sv))",
+    "mem0 AS (SELECT id AS doc, k * 100 + cluster AS topic FROM fa)")
+
+_SCORES = f"""scored0 AS (SELECT m.*, c.coherence_cv FROM metrics m
+             JOIN (SELECT topic // 100 AS k, avg(coherence) AS coherence_cv FROM coh GROUP BY ALL) c USING (k)),
+scored AS (SELECT *,
+  (sil_norm + db_norm + ch_norm + coh_norm) / 4 AS composite_score FROM (
+  SELECT *,
+    (silhouette_score - min(silhouette_score) OVER ()) / nullif(max(silhouette_score) OVER () - min(silhouette_score) OVER (), 0) AS sil_norm,
+    1 - (davies_bouldin_index - min(davies_bouldin_index) OVER ()) / nullif(max(davies_bouldin_index) OVER () - min(davies_bouldin_index) OVER (), 0) AS db_norm,
+    (calinski_harabasz_score - min(calinski_harabasz_score) OVER ()) / nullif(max(calinski_harabasz_score) OVER () - min(calinski_harabasz_score) OVER (), 0) AS ch_norm,
+    (coherence_cv - min(coherence_cv) OVER ()) / nullif(max(coherence_cv) OVER () - min(coherence_cv) OVER (), 0) AS coh_norm
+  FROM scored0))"""
+
+_SWEEP_WITH = f"""WITH {_SV},
+{_lloyd_sql(KS, LLOYD_ROUNDS)},
+{_METRICS},
+{_SWEEP_COH},
+{_SCORES}"""
+
+_SCORE_COLS = ["silhouette_score", "davies_bouldin_index", "calinski_harabasz_score", "coherence_cv",
+               "composite_score"]
+
+
+def _scored(spark, sf_dir):
+    """Lloyd sweep measures + C_V per k over the notes' texts, normalised and combined."""
+    pts = sim_points(spark, sf_dir).persist()
+    metrics, labels = sweep_k(pts, "query_id", "sims", KS, method="lloyd", iterations=LLOYD_ROUNDS)
+    labels = labels.persist()
+    docs = _coh_docs(spark, sf_dir, pts.select(F.col("query_id").alias("doc_id"))).persist()
+    member = labels.select(F.col("query_id").alias("doc_id"), (F.col("k") * 100 + F.col("cluster")).alias("topic"))
+    kw = topic_keywords(docs, "doc_id", "tk", member, "topic", top_n=COH_TOP_N)
+    per_topic = coherence_cv(docs, "doc_id", "tk", kw, "topic", window=COH_WINDOW)
+    coh = per_topic.groupBy((F.col("topic") / 100).cast("long").alias("k")).agg(F.avg("coherence").alias("coherence_cv"))
+    return score_k(metrics, coh).persist()
+
+
+@query("k_scores", f"""
+{_SWEEP_WITH}
+SELECT CAST(k AS BIGINT) AS k, {', '.join(f"{R4(c)} AS {c}" for c in _SCORE_COLS)},
+       min_cluster_size, max_cluster_size, {R4('cluster_size_std')} AS cluster_size_std
+FROM scored
+""")
+def k_scores(spark, sf_dir):
+    """The supplemental table -- measures, coherence and composite per k."""
+    s = _scored(spark, sf_dir)
+    return s.select("k", *[r4(c).alias(c) for c in _SCORE_COLS], "min_cluster_size", "max_cluster_size",
+                    r4("cluster_size_std").alias("cluster_size_std"))
+
+
+@query("k_best", f"""
+{_SWEEP_WITH}
+SELECT CAST(arg_max(k, composite_score * 1e6 - k * 1e-9) AS BIGINT) AS optimal_k FROM scored
+WHERE composite_score IS NOT NULL
+""")
+def k_best(spark, sf_dir):
+    """The k with the highest composite (first on ties)."""
+    return best_k(_scored(spark, sf_dir)).select(F.col("optimal_k").cast("bigint").alias("optimal_k"))
+
+
+@query("k_summary", f"""
+{_SWEEP_WITH},
+ranked AS (SELECT *, row_number() OVER (ORDER BY composite_score DESC, k) AS r FROM scored WHERE composite_score IS NOT NULL),
+items AS (SELECT 'current' AS item, k, composite_score, silhouette_score, davies_bouldin_index, calinski_harabasz_score, coherence_cv FROM scored WHERE k = 6
+          UNION ALL SELECT 'optimal', k, composite_score, silhouette_score, davies_bouldin_index, calinski_harabasz_score, coherence_cv FROM ranked WHERE r = 1
+          UNION ALL SELECT 'top' || CAST(r AS VARCHAR), k, composite_score, silhouette_score, davies_bouldin_index, calinski_harabasz_score, coherence_cv FROM ranked WHERE r <= 3)
+SELECT item, CAST(k AS BIGINT) AS k, {', '.join(f"{R4(c)} AS {c}" for c in _SCORE_COLS if c != 'composite_score')},
+       {R4('composite_score')} AS composite_score FROM items
+""")
+def k_summary_q(spark, sf_dir):
+    """D18 + A8: current k=6, the optimal k and the top-3 candidates."""
+    s = k_summary(_scored(spark, sf_dir), current_k=6, top=3)
+    return s.select("item", F.col("k").cast("bigint").alias("k"), *[r4(c).alias(c) for c in _SCORE_COLS])
