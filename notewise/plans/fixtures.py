@@ -33,3 +33,57 @@ def note_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = load(spark, sf_dir, "embeddings")
     return emb.filter(F.col("vec_id") >= CORPUS_ROWS).select(
         F.col("vec_id").alias("query_id"), as_doubles("embedding").alias("embedding"), "label")
+
+
+# Which event types play the visits and the dosing days of the
+# two medications.
+VISIT_EVENT = "purchase"
+DRUG_EVENTS = {"ART": "click", "BDQ": "view"}
+FIXED_K = 6
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, participant_id, visit_code, visit_date, query_index).
+
+    Each visit takes the note ``CORPUS_ROWS + event_id % (number of notes)``.
+    """
+    n_notes = note_vectors(spark, sf_dir).count()
+    ev = load(spark, sf_dir, "events").filter(F.col("event_type") == VISIT_EVENT)
+    return ev.select(F.col("event_id").alias("row_id"),
+                     F.col("user_id").cast("string").alias("participant_id"),
+                     F.concat(F.lit("V"), F.col("event_id").cast("string")).alias("visit_code"),
+                     F.to_date("ts").alias("visit_date"),
+                     (F.lit(CORPUS_ROWS) + F.col("event_id") % F.lit(n_notes)).alias("query_index"))
+
+
+def doses(spark: SparkSession, sf_dir: str, drug: str) -> DataFrame:
+    from notewise.operators.merge import dose_days
+
+    ev = load(spark, sf_dir, "events").filter(F.col("event_type") == DRUG_EVENTS[drug]) \
+        .withColumn("participant_id", F.col("user_id").cast("string"))
+    return dose_days(ev, "participant_id", "ts")
+
+
+def search_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from notewise.operators.merge import ranks_to_wide
+    from notewise.operators.search import semantic_search
+
+    res = semantic_search(note_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), "query_id", "embedding",
+                          "item_id", "embedding", corpus_text="text", k=5, digits=4)
+    return ranks_to_wide(res, "query_index", 5)
+
+
+def modelling_table(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> DataFrame:
+    """one row per (visit, chunk, drug) with features and the outcome."""
+    from notewise.operators.merge import attach_cluster, interval_adherence, visit_intervals
+
+    v = visits(spark, sf_dir)
+    clusters = note_vectors(spark, sf_dir).select(F.col("query_id").alias("query_index"),
+                                                  (F.col("label") % FIXED_K).cast("bigint").alias("cluster"))
+    base = attach_cluster(v.join(search_wide(spark, sf_dir), "query_index"), clusters, on="query_index")
+    iv = visit_intervals(base).persist()
+    out = None
+    for drug in drugs:
+        a = interval_adherence(iv, doses(spark, sf_dir, drug)).withColumn("drug", F.lit(drug))
+        out = a if out is None else out.unionByName(a)
+    return out
