@@ -87,3 +87,33 @@ def modelling_table(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> D
         a = interval_adherence(iv, doses(spark, sf_dir, drug)).withColumn("drug", F.lit(drug))
         out = a if out is None else out.unionByName(a)
     return out
+
+
+SIM_COLS = [f"sim_{r}" for r in range(1, 6)]
+
+
+def model_frame(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> tuple[DataFrame, dict]:
+    """Modelling table + features + participant folds.
+
+    Returns (frame, names) where names lists the feature columns of each
+    model family: 'flat' = 5 sims + chunk code + cluster one-hot (ridge,
+    forest, GAM); 'lme' = intercept, 5 sims, chunk and cluster treatment
+    dummies.
+    """
+    from notewise.operators.cv import group_kfold
+    from notewise.operators.encode import label_encode, levels, one_hot, select_features, treatment_code
+
+    mt = modelling_table(spark, sf_dir, drugs).persist()
+    mt = select_features(mt, {f"top{r}_similarity_score": f"sim_{r}" for r in range(1, 6)})
+    mt = label_encode(mt, "chunk", "chunk_encoded")
+    cl = levels(mt, "cluster")
+    mt, onehot = one_hot(mt, "cluster", "cluster", cl)
+    mt, chunk_t = treatment_code(mt.withColumn("chunk_code_s", F.col("chunk_encoded").cast("string")),
+                                 "chunk_code_s", "C(chunk_encoded)")
+    mt, clus_t = treatment_code(mt, "cluster", "C(Cluster)", cl)
+    mt = mt.withColumn("Intercept", F.lit(1.0))
+    folds = group_kfold(mt.filter(F.col("drug") == drugs[0]), "participant_id", 5)
+    mt = mt.join(F.broadcast(folds), "participant_id").persist()
+    names = {"flat": SIM_COLS + ["chunk_encoded"] + onehot,
+             "lme": ["Intercept"] + SIM_COLS + chunk_t + clus_t}
+    return mt, names
