@@ -371,7 +371,7 @@ def forest_cv(df: DataFrame, y: str, features: Sequence[str], by: str | None = N
         for f in folds:
             rf = RandomForestRegressor(featuresCol="_fv", labelCol=y, numTrees=trees, maxDepth=depth,
                                        minInstancesPerNode=min_instances, featureSubsetStrategy="all",
-                                       seed=seed, predictionCol="_p")
+                                       seed=seed, predictionCol="_p", maxMemoryInMB=1024)
             model = rf.fit(sub.filter(F.col(fold_col) != f))
             pr = model.transform(sub.filter(F.col(fold_col) == f)).select(
                 *keys, fold_col, _q(y).alias("y"), clip01("_p").alias("pred"))
