@@ -48,7 +48,7 @@ def baselines(df: DataFrame, y: str, by: str | None = None, fold_col: str = "fol
     test = df.select(*keys, fold_col, F.col(y).alias("y")).join(F.broadcast(consts), keys + [fold_col])
     preds = test.select(*keys, fold_col, "y", F.lit("Mean_Baseline").alias("model"), F.col("mean_pred").alias("pred")) \
         .unionByName(test.select(*keys, fold_col, "y", F.lit("Median_Baseline").alias("model"),
-                                 F.col("median_pred").alias("pred")))
+                                 F.col("median_pred").alias("pred"))).persist()
     m = regression_metrics(preds, "y", "pred", by=keys + ["model", fold_col])
     return m.select(*keys, "model", fold_col, "mae", "rmse")
 

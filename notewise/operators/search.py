@@ -222,7 +222,8 @@ def tfidf_top_k(notes: DataFrame, corpus: DataFrame, note_id: str, corpus_id: st
     both = notes.select(F.col(note_id).cast("long").alias("doc"), F.lit(0).alias("side"), tokens_col) \
         .unionByName(corpus.select(F.col(corpus_id).cast("long").alias("doc"), F.lit(1).alias("side"), tokens_col))
     both = both.withColumn("key", F.struct("side", "doc"))
-    w = tfidf_weights(both, "key", tokens_col)
+    # both sides read the same weights: compute them once
+    w = tfidf_weights(both, "key", tokens_col).persist()
     qw = w.filter(F.col("key.side") == 0).select(F.col("key.doc").alias("query_id"), "term", F.col("w").alias("qw"))
     cw = w.filter(F.col("key.side") == 1).select(F.col("key.doc").alias("corpus_id"), "term", F.col("w").alias("cw"))
     scores = qw.join(F.broadcast(cw), "term").groupBy("query_id", "corpus_id").agg(F.sum(F.col("qw") * F.col("cw")).alias("score"))

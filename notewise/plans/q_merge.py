@@ -199,8 +199,7 @@ SELECT drug, model, fold, {R4('mae')} AS mae, {R4('rmse')} AS rmse FROM fm
 """)
 def baseline_folds_q(spark, sf_dir):
     """I1/I2 + H4-H6: mean and median baselines, MAE and RMSE per fold and medication."""
-    folds = _folds(spark, sf_dir)
-    fm = baselines(modelling_table(spark, sf_dir).join(folds, "participant_id"), "adherence", "drug")
+    fm = baselines(_with_folds(spark, sf_dir), "adherence", "drug")
     return fm.select("drug", "model", "fold", r4("mae").alias("mae"), r4("rmse").alias("rmse"))
 
 
@@ -212,14 +211,19 @@ FROM fm GROUP BY drug, model
 """)
 def baseline_comparison_q(spark, sf_dir):
     """Mean and population std over folds, per medication and baseline."""
-    folds = _folds(spark, sf_dir)
-    fm = baselines(modelling_table(spark, sf_dir).join(folds, "participant_id"), "adherence", "drug")
+    fm = baselines(_with_folds(spark, sf_dir), "adherence", "drug")
     s = cv.summarise_folds(fm, cols=("mae", "rmse"), by=["drug", "model"])
     return s.select(F.col("drug").alias("Drug"), F.col("model").alias("Model"),
                     *[r4(c).alias(c) for c in ("MAE_mean", "MAE_std", "RMSE_mean", "RMSE_std")],
                     F.lit("Baseline").alias("Model_Type"))
 
 
-def _folds(spark, sf_dir):
-    """Participant folds (identical for both medications: same visits)."""
-    return cv.group_kfold(modelling_table(spark, sf_dir, drugs=("ART",)), "participant_id", 5)
+def _with_folds(spark, sf_dir):
+    """Modelling table of both medications with participant folds.
+
+    Folds come from one medication's rows (both have the same visits); the
+    table is persisted so the fold pass and the model pass share one build.
+    """
+    mt = modelling_table(spark, sf_dir).persist()
+    folds = cv.group_kfold(mt.filter(F.col("drug") == "ART"), "participant_id", 5)
+    return mt.join(F.broadcast(folds), "participant_id").persist()
