@@ -139,26 +139,45 @@ def vectors_for_ml(df: DataFrame, vec: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.transform(vec, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))))
 
 
-def kmeans(df: DataFrame, id_col: str, vec: str, k: int = 6, seed: int = 42,
-           restarts: int = 1, max_iter: int = 300, tol: float = 1e-4):
-    """MLlib K-means (k-means|| init), best of ``restarts`` seeds by cost.
+def kmeans_fits(data: DataFrame, ks, seed: int = 42, restarts: int = 1, max_iter: int = 300,
+                tol: float = 1e-4, parallel: int = 8) -> dict:
+    """D1/D3 for several k: MLlib K-means (k-means|| init) for every (k, seed).
 
-    Returns (assignments(id, cluster), centres ndarray, inertia).
+    MLlib has no ``n_init``; the restarts are independent fits on the same
+    cached vectors, submitted from a small thread pool so their (small) jobs
+    share the cluster.  Returns {k: best model by training cost}.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
 
-    data = vectors_for_ml(df.select(id_col, vec), vec).persist()
-    best = None
-    for r in range(restarts):
+    def fit(task):
+        k, r = task
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=tol, featuresCol="features",
                        predictionCol="cluster").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    model, cost = best
+        return k, model.summary.trainingCost, r, model
+
+    tasks = [(k, r) for k in ks for r in range(restarts)]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(tasks)))) as pool:
+        results = list(pool.map(fit, tasks))
+    best: dict = {}
+    for k, cost, r, model in results:
+        if k not in best or (cost, r) < (best[k][0], best[k][1]):
+            best[k] = (cost, r, model)
+    return {k: v[2] for k, v in best.items()}
+
+
+def kmeans(df: DataFrame, id_col: str, vec: str, k: int = 6, seed: int = 42,
+           restarts: int = 1, max_iter: int = 300, tol: float = 1e-4):
+    """MLlib K-means, best of ``restarts`` seeds by cost.
+
+    Returns (assignments(id, cluster), centres ndarray, inertia).
+    """
+    data = vectors_for_ml(df.select(id_col, vec), vec).persist()
+    model = kmeans_fits(data, [k], seed, restarts, max_iter, tol)[k]
     labels = model.transform(data).select(id_col, F.col("cluster").cast("long").alias("cluster"))
     centres = np.vstack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-    return labels, centres, float(cost)
+    return labels, centres, float(model.summary.trainingCost)
 
 
 # ---------------------------------------------------------------------------

@@ -405,3 +405,38 @@ def score_external(df: DataFrame, predict, features: Sequence[str], y: str, by:
     schema = ", ".join([f"`{k}` string" for k in keys] + [f"`{fold_col}` bigint", "y double", "pred double"])
     preds = df.select(*[_q(c) for c in cols]).mapInPandas(kernel, schema)
     return regression_metrics(preds, "y", "pred", by=keys + [fold_col]).withColumn("model", F.lit(model))
+
+
+# ---------------------------------------------------------------------------
+# Fitted parameters as tables
+# ---------------------------------------------------------------------------
+
+def save_model(model: LMEModel, path: str, blups: DataFrame | None = None) -> None:
+    """Write a fitted LME as parquet tables: parameters (one row per fixed
+    effect, plus theta and sigma^2) and optionally the BLUP table."""
+    spark = SparkSessionRef.get()
+    rows = [(i, name, col, float(b), float(se)) for i, (name, col, b, se) in
+            enumerate(zip(model.names, model.fixed, model.fit["beta"], model.fit["se"]))]
+    spark.createDataFrame(rows, "pos int, name string, col string, beta double, se double") \
+        .write.mode("overwrite").parquet(f"{path}/fixed")
+    spark.createDataFrame([(float(model.fit["theta"]), float(model.fit["sigma2"]), model.group_col, model.y)],
+                          "theta double, sigma2 double, group_col string, y string") \
+        .write.mode("overwrite").parquet(f"{path}/variance")
+    if blups is not None:
+        blups.write.mode("overwrite").parquet(f"{path}/blups")
+
+
+def load_model(spark, path: str) -> LMEModel:
+    fx = sorted(spark.read.parquet(f"{path}/fixed").collect(), key=lambda r: r.pos)
+    v = spark.read.parquet(f"{path}/variance").first()
+    fit = {"beta": np.array([r.beta for r in fx]), "se": np.array([r.se for r in fx]),
+           "theta": v.theta, "sigma2": v.sigma2, "group_var": v.theta * v.sigma2}
+    return LMEModel(fit, [r.col for r in fx], v.group_col, v.y, [r.name for r in fx])
+
+
+class SparkSessionRef:
+    @staticmethod
+    def get():
+        from pyspark.sql import SparkSession
+
+        return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()

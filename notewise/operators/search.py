@@ -241,12 +241,17 @@ def tfidf_top_k(notes: DataFrame, corpus: DataFrame, note_id: str, corpus_id: st
                                                                  F.col("corpus_id").alias("id"))).alias("nz"))
     j = base.join(nz, "query_id", "left")
     nzs = F.coalesce(F.col("nz"), F.array().cast("array<struct<neg:double,id:bigint>>"))
-    fill = F.transform(F.filter("ids", lambda i: ~F.exists(nzs, lambda s: s["id"] == i)),
-                       lambda i: F.struct(F.lit(-0.0).alias("neg"), i.alias("id")))
-    cand = F.slice(F.array_sort(F.concat(nzs, F.slice(fill, 1, k))), 1, k)
+    pos = F.filter(nzs, lambda s: s["neg"] < 0)
+    # Fillers are only needed when fewer than k rows share a term; then the
+    # first 2k corpus ids always hold k ids without a positive score, so the
+    # exclusion check is O(k^2) per note whatever the corpus size.
+    fill = F.when(F.size(pos) >= k, F.array().cast("array<struct<neg:double,id:bigint>>")).otherwise(
+        F.transform(F.filter(F.slice("ids", 1, 2 * k), lambda i: ~F.exists(pos, lambda s: s["id"] == i)),
+                    lambda i: F.struct(F.lit(0.0).alias("neg"), i.alias("id"))))
+    cand = F.slice(F.array_sort(F.concat(pos, fill)), 1, k)
     return j.select("query_id", F.posexplode(cand).alias("pos", "t")).select(
         "query_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("t.id").alias("corpus_id"),
-        (-F.col("t.neg")).alias("score"))
+        (-F.col("t.neg") + F.lit(0.0)).alias("score"))
 
 
 def embed_with(df: DataFrame, id_col: str, text_col: str, encoder, dim: int,
