@@ -233,15 +233,40 @@ def lemma_table(tokens_df: DataFrame, token_col: str = "token",
     return best
 
 
+# Bound on the (token, lemma) rows shipped to every executor for in-row use.
+MAX_LEMMA_ROWS = 2_000_000
+
+
 def lemmatize_tokens(df: DataFrame, id_col: str, tokens_col: str, table: DataFrame,
-                     out_col: str = "lemmas") -> DataFrame:
+                     out_col: str = "lemmas", max_rows: int = MAX_LEMMA_ROWS) -> DataFrame:
     """Apply a (token, lemma) table to an array column, keeping token order.
 
-    Tokens are exploded with their position, looked up with an equi-join on
-    the token (the table is one row per changed vocabulary word), and put
-    back per note; the regroup holds one note at a time.  Notes without
-    tokens come back with an empty list.  Returns (id_col, out_col).
+    The table holds only vocabulary words whose lemma differs.  When its
+    size is within ``max_rows`` it is broadcast and applied in-row per Arrow
+    batch (no shuffle, a note never leaves its partition).  Above the bound
+    the tokens are exploded with their position, looked up with an
+    equi-join and put back per note.  Returns (id_col, out_col); notes
+    without tokens get an empty list.
     """
+    n = table.count()
+    if n <= max_rows:
+        import pandas as pd
+
+        mapping = {r["token"]: r["lemma"] for r in table.select("token", "lemma").collect()}
+        bc = df.sparkSession.sparkContext.broadcast(mapping)
+        id_type = df.schema[id_col].dataType
+
+        def kernel(batches):
+            m = bc.value
+            for pdf in batches:
+                out = [[m.get(t, t) for t in toks] if toks is not None else [] for toks in pdf[tokens_col]]
+                yield pd.DataFrame({id_col: pdf[id_col], out_col: out})
+
+        from pyspark.sql import types as T
+
+        schema = T.StructType([T.StructField(id_col, id_type),
+                               T.StructField(out_col, T.ArrayType(T.StringType()))])
+        return df.select(id_col, tokens_col).mapInPandas(kernel, schema)
     ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
     looked = ex.join(table, "token", "left") \
         .select(id_col, "pos", F.coalesce("lemma", "token").alias("w"))

@@ -362,15 +362,58 @@ def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str = "cluster",
     return float(s.agg(F.avg("silhouette")).first()[0])
 
 
+def rank_within(df: DataFrame, key: str, order_cols: list, out: str = "pos") -> DataFrame:
+    """0-based position of each row inside its ``key`` group, ordered by ``order_cols``.
+
+    No per-key window: rows are range-partitioned on (key, order) so one
+    large key spans many partitions, sorted inside each partition, and the
+    layout is fixed with a reliable checkpoint.  A small table of rows per
+    (partition, key) gives each partition its offset inside the key; the
+    local positions come from one sequential pass per partition.
+    ``order_cols`` (names or sort Columns such as ``F.desc(c)``) must make
+    the order total (end with a unique id).
+    """
+    from notewise.session import checkpoint_dir
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(n_parts, key, *order_cols).sortWithinPartitions(key, *order_cols) \
+        .withColumn("__rw_pid", F.spark_partition_id()).checkpoint()
+    counts = s.groupBy("__rw_pid", key).agg(F.count(F.lit(1)).alias("__rw_n"))
+    w = Window.partitionBy(key).orderBy("__rw_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("__rw_pid", key, F.coalesce(F.sum("__rw_n").over(w), F.lit(0)).alias("__rw_off"))
+    schema = T.StructType(s.schema.fields + [T.StructField("__rw_local", T.LongType())])
+
+    def kernel(batches):
+        seen: dict = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            local = np.empty(len(pdf), dtype=np.int64)
+            for i, kv in enumerate(pdf[key].to_numpy()):
+                c = seen.get(kv, 0)
+                local[i] = c
+                seen[kv] = c + 1
+            pdf = pdf.copy()
+            pdf["__rw_local"] = local
+            yield pdf
+
+    ranked = s.mapInPandas(kernel, schema)
+    # the offsets table has at most (partitions x keys) rows
+    return ranked.join(F.broadcast(offs), ["__rw_pid", key]) \
+        .withColumn(out, (F.col("__rw_off") + F.col("__rw_local")).cast("bigint")).drop("__rw_pid", "__rw_off", "__rw_local")
+
+
 def silhouette_profile(samples: DataFrame, id_col: str, gap: int = 10) -> DataFrame:
     """Plotting table: per cluster, scores ascending, stacked with a gap.
 
     y = offset of the cluster + position within it; the offset of cluster i
-    is ``gap`` + sum over lower clusters of (size + gap).  The per-cluster
-    order is a window sorted within each cluster (spills, never collects).
+    is ``gap`` + sum over lower clusters of (size + gap).  Positions come
+    from :func:`rank_within`, so a cluster holding most rows is still
+    ranked by many tasks.
     """
-    w = Window.partitionBy("cluster").orderBy("silhouette", id_col)
-    ranked = samples.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
+    ranked = rank_within(samples.select(id_col, "cluster", "silhouette"), "cluster", ["silhouette", id_col])
     sizes = samples.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     ws = Window.orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
     # one row per cluster: a global window over k rows is harmless

@@ -61,8 +61,11 @@ def group_kfold(df: DataFrame, group_col: str, n_splits: int = 5, fold_col: str
     segs = fold_segments(hist, n_splits)
     seg_df = df.sparkSession.createDataFrame(
         [(s, a, b, o) for s, a, b, o in segs], "_n long, _a long, _b long, _order array<int>")
-    w = Window.partitionBy("_n").orderBy(F.desc(group_col))
-    ranked = sizes.withColumn("_ord", F.row_number().over(w) - 1)
+    # ordinal among groups of equal size, by group id descending; ranked
+    # without a per-size window so one very common size is still spread out
+    from notewise.operators.clustering import rank_within
+
+    ranked = rank_within(sizes, "_n", [F.desc(group_col)], out="_ord")
     j = ranked.join(F.broadcast(seg_df), "_n").filter((F.col("_ord") >= F.col("_a")) & (F.col("_ord") < F.col("_b")))
     fold = F.element_at("_order", (F.pmod(F.col("_ord") - F.col("_a"), F.size("_order")) + 1).cast("int")) + 1
     return j.select(group_col, fold.cast("bigint").alias(fold_col))

@@ -87,3 +87,17 @@ def test_representatives_search_all_rows(spark):
     x = np.array([[0.0, 0.0], [1.0, 0.0], [10.0, 0.0], [0.9, 0.0]])
     reps = {r.cluster: r.id for r in representatives(_points(spark, x), "id", "v", np.array([[1.0, 0.0], [9.0, 0.0]])).collect()}
     assert reps == {0: 1, 1: 2}
+
+
+def test_rank_within_hot_key(spark):
+    from notewise.operators.clustering import rank_within
+
+    rng = np.random.default_rng(9)
+    keys = np.where(rng.random(500) < 0.8, 0, rng.integers(1, 4, 500))  # one key holds most rows
+    vals = rng.normal(size=500)
+    df = spark.createDataFrame([(i, int(k), float(v)) for i, (k, v) in enumerate(zip(keys, vals))], "id long, k long, v double")
+    got = {r.id: r.pos for r in rank_within(df, "k", ["v", "id"]).collect()}
+    for kv in set(keys):
+        members = sorted((vals[i], i) for i in range(500) if keys[i] == kv)
+        for pos, (_, i) in enumerate(members):
+            assert got[i] == pos
