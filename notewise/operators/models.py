@@ -361,21 +361,34 @@ def forest_cv(df: DataFrame, y: str, features: Sequence[str], by: str | None = N
 
     keys = [by] if by else []
     data = VectorAssembler(inputCols=list(features), outputCol="_fv").transform(df).persist()
-    out = None
     key_vals = [tuple(r) for r in data.select(*keys).distinct().collect()] if keys else [()]
     folds = _fold_values(data, fold_col)
-    for kv in key_vals:
+
+    def subset(kv):
         sub = data
         for k, v in zip(keys, kv):
             sub = sub.filter(F.col(k) == v)
-        for f in folds:
-            rf = RandomForestRegressor(featuresCol="_fv", labelCol=y, numTrees=trees, maxDepth=depth,
-                                       minInstancesPerNode=min_instances, featureSubsetStrategy="all",
-                                       seed=seed, predictionCol="_p", maxMemoryInMB=1024)
-            model = rf.fit(sub.filter(F.col(fold_col) != f))
-            pr = model.transform(sub.filter(F.col(fold_col) == f)).select(
-                *keys, fold_col, _q(y).alias("y"), clip01("_p").alias("pred"))
-            out = pr if out is None else out.unionByName(pr)
+        return sub
+
+    def fit(task):
+        kv, f = task
+        rf = RandomForestRegressor(featuresCol="_fv", labelCol=y, numTrees=trees, maxDepth=depth,
+                                   minInstancesPerNode=min_instances, featureSubsetStrategy="all",
+                                   seed=seed, predictionCol="_p", maxMemoryInMB=1024)
+        return task, rf.fit(subset(kv).filter(F.col(fold_col) != f))
+
+    # the per-fold fits are independent: submit them together so their
+    # level-by-level jobs share the cluster
+    from concurrent.futures import ThreadPoolExecutor
+
+    tasks = [(kv, f) for kv in key_vals for f in folds]
+    with ThreadPoolExecutor(max_workers=min(len(tasks), 5)) as pool:
+        models = list(pool.map(fit, tasks))
+    out = None
+    for (kv, f), model in models:
+        pr = model.transform(subset(kv).filter(F.col(fold_col) == f)).select(
+            *keys, fold_col, _q(y).alias("y"), clip01("_p").alias("pred"))
+        out = pr if out is None else out.unionByName(pr)
     return regression_metrics(out, "y", "pred", by=keys + [fold_col]).withColumn("model", F.lit("Random_Forest"))
 
 
