@@ -153,7 +153,7 @@ lv AS (SELECT list(DISTINCT chunk ORDER BY chunk) AS chunks, list(DISTINCT parti
               list(DISTINCT cluster ORDER BY cluster) AS cls FROM mt1)
 SELECT row_id, chunk, CAST(list_position(lv.chunks, chunk) - 1 AS BIGINT) AS chunk_code,
        CAST(list_position(lv.parts, participant_id) - 1 AS BIGINT) AS participant_code,
-       {', '.join(f"CASE WHEN cluster = {c} THEN 1.0 ELSE 0.0 END AS cluster_{c}" for c in range(FIXED_K))}
+       {', '.join(f"CASE WHEN cluster = {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cluster_{c}" for c in range(FIXED_K))}
 FROM mt1 CROSS JOIN lv
 """)
 def encoded_features_q(spark, sf_dir):
@@ -169,9 +169,9 @@ def encoded_features_q(spark, sf_dir):
 WITH {MT_SQL},
 mt1 AS (SELECT * FROM mt WHERE drug = 'ART')
 SELECT row_id,
-  {', '.join(f"CASE WHEN chunk = '{c}' THEN 1.0 ELSE 0.0 END AS \"C(Chunk)[T.{c}]\"" for c in ['after2', 'before'])},
-  {', '.join(f"CASE WHEN cluster = {k} THEN 1.0 ELSE 0.0 END AS \"C(Cluster)[T.{k}]\"" for k in range(1, FIXED_K))},
-  {', '.join(f"CASE WHEN chunk = '{c}' AND cluster = {k} THEN 1.0 ELSE 0.0 END AS \"C(Chunk)[T.{c}]:C(Cluster)[T.{k}]\"" for c in ['after2', 'before'] for k in range(1, FIXED_K))}
+  {', '.join(f"CASE WHEN chunk = '{c}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"C(Chunk)[T.{c}]\"" for c in ['after2', 'before'])},
+  {', '.join(f"CASE WHEN cluster = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"C(Cluster)[T.{k}]\"" for k in range(1, FIXED_K))},
+  {', '.join(f"CASE WHEN chunk = '{c}' AND cluster = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"C(Chunk)[T.{c}]:C(Cluster)[T.{k}]\"" for c in ['after2', 'before'] for k in range(1, FIXED_K))}
 FROM mt1
 """)
 def interaction_design_q(spark, sf_dir):
