@@ -175,27 +175,6 @@ def ngrams(tokens, lo: int = 1, hi: int = 10) -> Column:
     return F.flatten(F.array(*parts))
 
 
-def with_ngrams(df: DataFrame, tokens_col: str, lo: int = 1, hi: int = 10, out: str = "grams") -> DataFrame:
-    """B10 as MLlib ``NGram`` stages: ``out`` = all n-grams (lo..hi) of one token list.
-
-    Same terms as :func:`ngrams`, produced by compiled JVM code instead of
-    interpreted lambdas (about a third faster); n of a gram is its number of
-    spaces + 1 because tokens hold no spaces.
-    """
-    from pyspark.ml.feature import NGram
-
-    names = [f"__ng{n}" for n in range(lo, hi + 1)]
-    for n, name in zip(range(lo, hi + 1), names):
-        df = NGram(n=n, inputCol=tokens_col, outputCol=name).transform(df)
-    return df.withColumn(out, F.concat(*[F.col(c) for c in names])).drop(*names)
-
-
-def gram_size(gram) -> Column:
-    """Number of words in a gram built by :func:`with_ngrams`."""
-    g = _col(gram)
-    return (F.length(g) - F.length(F.regexp_replace(g, " ", "")) + 1).cast("bigint")
-
-
 def cluster_label(cluster, text, width: int = 80) -> Column:
     """``"Cluster i: <first width chars>..."``."""
     return F.concat(F.lit("Cluster "), _col(cluster).cast("string"), F.lit(": "),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notewise.functions.text import (NOTE_STOP_WORDS, NOUN_SUFFIX_RULES, coherence_stop_words,
-                                     distinct_texts, gram_size, note_tokens, preprocess_notes,
-                                     with_ngrams, word_tokens)
+                                     distinct_texts, ngrams, note_tokens, preprocess_notes,
+                                     word_tokens)
 from notewise.functions.vectors import r4
 from notewise.operators.search import tfidf_top_k
 from notewise.plans.registry import R4, query
@@ -98,8 +98,7 @@ def ngram_stats(spark, sf_dir):
     """Word 1..10-grams of every cleaned note, counted per n."""
     docs = load(spark, sf_dir, "documents", spread_by="doc_id")
     toks = docs.select(note_tokens("text").alias("tk"))
-    g = with_ngrams(toks, "tk", 1, 10).select(F.explode("grams").alias("gram")) \
-        .select(gram_size("gram").alias("n"), "gram")
+    g = toks.select(F.explode(ngrams("tk", 1, 10)).alias("g")).select("g.n", "g.gram")
     return g.groupBy("n").agg(F.count(F.lit(1)).cast("bigint").alias("n_grams"),
                               F.countDistinct("gram").cast("bigint").alias("n_distinct"),
                               F.sum(F.length("gram")).cast("bigint").alias("total_chars")) \

@@ -51,13 +51,3 @@ def test_preprocess_notes_lemmatises_in_order(spark):
     df = spark.createDataFrame([(1, "Pills and more pills"), (2, "a pill"), (3, None)], "id long, text string")
     out = {r.id: r.clean_text for r in preprocess_notes(df, "id", "text").collect()}
     assert out == {1: "pill pill", 2: "pill", 3: ""}
-
-
-def test_with_ngrams_equals_expression_form(spark):
-    from notewise.functions.text import gram_size, with_ngrams
-
-    df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, []), (3, ["x"])], "id long, tk array<string>")
-    a = sorted(tuple(r) for r in df.select("id", F.explode(ngrams("tk", 1, 3)).alias("g")).select("id", "g.n", "g.gram").collect())
-    b = sorted(tuple(r) for r in with_ngrams(df, "tk", 1, 3).select("id", F.explode("grams").alias("gram"))
-               .select("id", gram_size("gram").alias("n"), "gram").collect())
-    assert a == b
