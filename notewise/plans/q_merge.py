@@ -227,3 +227,42 @@ def _with_folds(spark, sf_dir):
     mt = modelling_table(spark, sf_dir).persist()
     folds = cv.group_kfold(mt.filter(F.col("drug") == "ART"), "participant_id", 5)
     return mt.join(F.broadcast(folds), "participant_id").persist()
+
+
+_FLAT = [f"sim_{r}" for r in range(1, 6)] + ["chunk_encoded"] + [f"cluster_{c}" for c in range(FIXED_K)]
+
+
+@query("standardise_stats", f"""
+WITH RECURSIVE {MT_SQL},
+{_recursive_folds_sql("(SELECT * FROM mt WHERE drug = 'ART')", 'participant_id')},
+lv AS (SELECT list(DISTINCT chunk ORDER BY chunk) AS chunks FROM mt),
+feat AS (SELECT mt.drug, folds.fold,
+                {', '.join(f'mt.top{r}_similarity_score AS sim_{r}' for r in range(1, 6))},
+                CAST(list_position(lv.chunks, mt.chunk) - 1 AS DOUBLE) AS chunk_encoded,
+                {', '.join(f'CASE WHEN mt.cluster = {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cluster_{c}' for c in range(FIXED_K))}
+         FROM mt JOIN folds ON folds.gid = mt.participant_id CROSS JOIN lv),
+lng AS (UNPIVOT feat ON {', '.join(_FLAT)} INTO NAME feature VALUE x),
+fl AS (SELECT DISTINCT fold AS train_fold FROM folds)
+SELECT lng.drug, fl.train_fold AS fold, lng.feature, {R4('avg(lng.x)')} AS mean, {R4('stddev_pop(lng.x)')} AS std
+FROM lng JOIN fl ON lng.fold <> fl.train_fold GROUP BY lng.drug, fl.train_fold, lng.feature
+""")
+def standardise_stats_q(spark, sf_dir):
+    """Training-fold mean and population std of every ridge feature (per medication)."""
+    from notewise.operators.models import gram_by
+    from notewise.plans.fixtures import model_frame
+
+    mt, names = model_frame(spark, sf_dir)
+    feats = names["flat"]
+    g = gram_by(mt, feats, "adherence", ["drug", "fold"])
+    rows = []
+    for drug in sorted({k[0] for k in g}):
+        parts = {k[1]: v for k, v in g.items() if k[0] == drug}
+        total = {key: sum(v[key] for v in parts.values()) for key in ("n", "sx", "sxx")}
+        for f, v in parts.items():
+            n = total["n"] - v["n"]
+            mu = (total["sx"] - v["sx"]) / n
+            var = (total["sxx"] - v["sxx"]).diagonal() / n - mu * mu
+            for j, name in enumerate(feats):
+                rows.append((drug, int(f), name, float(mu[j]), float(max(var[j], 0.0) ** 0.5)))
+    df = spark.createDataFrame(rows, "drug string, fold bigint, feature string, mean double, std double")
+    return df.select("drug", "fold", "feature", r4("mean").alias("mean"), r4("std").alias("std"))
