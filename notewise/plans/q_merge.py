@@ -266,3 +266,31 @@ def standardise_stats_q(spark, sf_dir):
                 rows.append((drug, int(f), name, float(mu[j]), float(max(var[j], 0.0) ** 0.5)))
     df = spark.createDataFrame(rows, "drug string, fold bigint, feature string, mean double, std double")
     return df.select("drug", "fold", "feature", r4("mean").alias("mean"), r4("std").alias("std"))
+
+
+@query("ridge_one_feature", f"""
+WITH RECURSIVE {MT_SQL},
+{_recursive_folds_sql("(SELECT * FROM mt WHERE drug = 'ART')", 'participant_id')},
+j AS (SELECT mt.drug, folds.fold, mt.top1_similarity_score AS x, mt.adherence AS y
+      FROM mt JOIN folds ON folds.gid = mt.participant_id),
+fl AS (SELECT DISTINCT fold AS train_fold FROM folds),
+tr0 AS (SELECT j.drug, fl.train_fold AS fold, count(*) AS n, avg(j.x) AS mx, avg(j.y) AS my,
+               stddev_pop(j.x) AS sx, sum(j.x * j.y) AS sxy
+        FROM j JOIN fl ON j.fold <> fl.train_fold GROUP BY ALL),
+tr AS (SELECT drug, fold, mx, my,
+              CASE WHEN sx = 0 THEN 0.0 ELSE ((sxy - n * mx * my) / sx) / (n + 1.0) / sx END AS w FROM tr0),
+pr AS (SELECT j.drug, j.fold, j.y, greatest(0.0, least(1.0, tr.my + (j.x - tr.mx) * tr.w)) AS p
+       FROM j JOIN tr USING (drug, fold)),
+ym AS (SELECT drug, fold, avg(y) AS ybar FROM pr GROUP BY ALL)
+SELECT pr.drug, pr.fold, {R4('avg(abs(pr.y - pr.p))')} AS mae, {R4('sqrt(avg((pr.y - pr.p) * (pr.y - pr.p)))')} AS rmse,
+       {R4('1 - sum((pr.y - pr.p) * (pr.y - pr.p)) / sum((pr.y - ym.ybar) * (pr.y - ym.ybar))')} AS r2,
+       'Ridge_Regression' AS model
+FROM pr JOIN ym USING (drug, fold) GROUP BY pr.drug, pr.fold
+""")
+def ridge_one_feature_q(spark, sf_dir):
+    """I3 with one feature (top-1 score): the ridge path checked end to end in SQL."""
+    from notewise.operators.models import ridge_cv
+
+    mt = _with_folds(spark, sf_dir).withColumnRenamed("top1_similarity_score", "sim_1")
+    m = ridge_cv(mt, "adherence", ["sim_1"], by="drug")
+    return m.select("drug", "fold", *[r4(c).alias(c) for c in ("mae", "rmse", "r2")], "model")
