@@ -196,16 +196,20 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, query_id: str = "quer
 def tfidf_weights(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """(id, term, w): L2-normalised tf * idf, idf = ln((N+1)/(df+1)).
 
-    N and df are counted over ``docs``; one row per (document, term).
+    N and df are counted over ``docs`` (one row per document id); one output
+    row per (document, term).  Document frequency is a partial aggregation
+    per term joined back (a term found in every document stays one row per
+    task before the shuffle; AQE splits its side of the join if it is hot);
+    the norm is a window over one document's terms.
     """
-    n_docs = docs.select(id_col).distinct().count()
+    from pyspark.sql import Window
+
+    n_docs = docs.count()
     tf = docs.select(id_col, F.explode(tokens_col).alias("term")).groupBy(id_col, "term") \
         .agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = tf.join(df_, "term").withColumn(
         "raw", F.col("tf") * F.log(F.lit(float(n_docs + 1)) / (F.col("df") + F.lit(1.0))))
-    from pyspark.sql import Window
-
     nrm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", F.when(nrm > 0, F.col("raw") / nrm).otherwise(F.lit(0.0)).alias("w"))
 

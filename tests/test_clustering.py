@@ -101,3 +101,12 @@ def test_rank_within_hot_key(spark):
         members = sorted((vals[i], i) for i in range(500) if keys[i] == kv)
         for pos, (_, i) in enumerate(members):
             assert got[i] == pos
+
+
+def test_silhouette_squared_runs(spark):
+    from notewise.operators.clustering import silhouette_squared
+
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(20, 2)), rng.normal(size=(20, 2)) + 8])
+    lab = np.array([0] * 20 + [1] * 20)
+    assert silhouette_squared(_points(spark, x, lab), "v") > 0.9
