@@ -41,7 +41,7 @@ def baselines(df: DataFrame, y: str, by: str | None = None, fold_col: str = "fol
 
     w = Window.partitionBy(*keys)
     mean_tr = per.select(*keys, fold_col,
-                         ((F.sum("_s").over(w) - F.col("_s")) / (F.sum("_n").over(w) - F.col("_n"))).alias("mean_pred"))
+                         F.try_divide(F.sum("_s").over(w) - F.col("_s"), F.sum("_n").over(w) - F.col("_n")).alias("mean_pred"))
     med_tr = training_folds(df.select(*keys, fold_col, y), folds, fold_col).groupBy(*keys, "train_fold") \
         .agg(F.median(y).alias("median_pred")).withColumnRenamed("train_fold", fold_col)
     consts = mean_tr.join(med_tr, keys + [fold_col])
