@@ -230,7 +230,11 @@ def tfidf_top_k(notes: DataFrame, corpus: DataFrame, note_id: str, corpus_id: st
     w = tfidf_weights(both, "key", tokens_col).persist()
     qw = w.filter(F.col("key.side") == 0).select(F.col("key.doc").alias("query_id"), "term", F.col("w").alias("qw"))
     cw = w.filter(F.col("key.side") == 1).select(F.col("key.doc").alias("corpus_id"), "term", F.col("w").alias("cw"))
-    scores = qw.join(F.broadcast(cw), "term").groupBy("query_id", "corpus_id").agg(F.sum(F.col("qw") * F.col("cw")).alias("score"))
+    # the corpus side is small by role; hint the broadcast only when its
+    # (document, term) rows are within the bound
+    cw_rows = cw.count()
+    cw_side = F.broadcast(cw) if cw_rows * 64 <= MAX_BROADCAST_BYTES else cw
+    scores = qw.join(cw_side, "term").groupBy("query_id", "corpus_id").agg(F.sum(F.col("qw") * F.col("cw")).alias("score"))
     # Every corpus row is a candidate (score 0 when nothing is shared): a
     # note keeps its k best from the shared-term scores plus zero fillers
     # taken in corpus id order.  The corpus is bounded (checked), so its ids

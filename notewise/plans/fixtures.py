@@ -113,7 +113,7 @@ def model_frame(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> tuple
     mt, clus_t = treatment_code(mt, "cluster", "C(Cluster)", cl)
     mt = mt.withColumn("Intercept", F.lit(1.0))
     folds = group_kfold(mt.filter(F.col("drug") == drugs[0]), "participant_id", 5)
-    mt = mt.join(F.broadcast(folds), "participant_id").persist()
+    mt = mt.join(folds, "participant_id").persist()
     names = {"flat": SIM_COLS + ["chunk_encoded"] + onehot,
              "lme": ["Intercept"] + SIM_COLS + chunk_t + clus_t}
     return mt, names

@@ -226,7 +226,8 @@ def _with_folds(spark, sf_dir):
     """
     mt = modelling_table(spark, sf_dir).persist()
     folds = cv.group_kfold(mt.filter(F.col("drug") == "ART"), "participant_id", 5)
-    return mt.join(F.broadcast(folds), "participant_id").persist()
+    # one row per participant: Spark picks broadcast or shuffle from its size
+    return mt.join(folds, "participant_id").persist()
 
 
 _FLAT = [f"sim_{r}" for r in range(1, 6)] + ["chunk_encoded"] + [f"cluster_{c}" for c in range(FIXED_K)]
