@@ -110,3 +110,14 @@ def test_silhouette_squared_runs(spark):
     x = np.vstack([rng.normal(size=(20, 2)), rng.normal(size=(20, 2)) + 8])
     lab = np.array([0] * 20 + [1] * 20)
     assert silhouette_squared(_points(spark, x, lab), "v") > 0.9
+
+
+def test_lsh_neighbours_subset_of_exact(spark):
+    from notewise.operators.topics import neighbour_pairs, neighbour_pairs_lsh
+
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=(30, 3)) * 0.1, rng.normal(size=(30, 3)) * 0.1 + 5])
+    df = _points(spark, x)
+    exact = {(r.id, r.nb) for r in neighbour_pairs(df, "id", "v", 0.5).collect()}
+    approx = {(r.id, r.nb) for r in neighbour_pairs_lsh(df, "id", "v", 0.5).collect()}
+    assert approx <= exact and len(approx) >= 0.5 * len(exact)
