@@ -269,7 +269,9 @@ def embed_with(df: DataFrame, id_col: str, text_col: str, encoder, dim: int,
     Only distinct texts are encoded (one shuffle on the text), each Arrow
     batch is one encoder call, and vectors are joined back to every row.
     """
-    distinct = df.select(text_col).distinct()
+    # a missing text is encoded as the empty text
+    keyed = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    distinct = keyed.select(text_col).distinct()
 
     def kernel(batches):
         for pdf in batches:
@@ -281,4 +283,4 @@ def embed_with(df: DataFrame, id_col: str, text_col: str, encoder, dim: int,
     schema = T.StructType([T.StructField(text_col, T.StringType()),
                            T.StructField(out, T.ArrayType(T.DoubleType()))])
     vecs = distinct.mapInPandas(kernel, schema)
-    return df.select(id_col, text_col).join(vecs, text_col, "left")
+    return keyed.join(vecs, text_col, "left")

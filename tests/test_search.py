@@ -47,3 +47,17 @@ def test_similarity_vectors_order_by_corpus_id(spark):
     qdf, cdf = _frames(spark, [[1.0, 0.0]], [[0.0, 1.0], [1.0, 0.0]])
     r = similarity_vectors(qdf, cdf, "qid", "v", "cid", "v").collect()[0]
     assert r.sims == [0.0, 1.0]
+
+
+def test_embed_with_caller_encoder_only_distinct_texts(spark):
+    from notewise.operators.search import embed_with
+
+    def encoder(texts):
+        # letter counts a..c: a small deterministic stand-in for a sentence encoder
+        return [[t.count("a"), t.count("b"), t.count("c")] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, "aab"), (3, "abc"), (4, None)], "id long, text string")
+    got = {r.id: r.embedding for r in embed_with(df, "id", "text", encoder, 3).collect()}
+    assert got[1] == got[3] == [1.0, 1.0, 1.0]
+    assert got[2] == [2.0, 1.0, 0.0]
+    assert got[4] == [0.0, 0.0, 0.0]
