@@ -361,6 +361,12 @@ _SCORE_COLS = ["silhouette_score", "davies_bouldin_index", "calinski_harabasz_sc
 
 def _scored(spark, sf_dir):
     """Lloyd sweep measures + C_V per k over the notes' texts, normalised and combined."""
+    from notewise.plans.fixtures import memo
+
+    return memo(spark, ("k_scored", sf_dir), lambda: _build_scored(spark, sf_dir))
+
+
+def _build_scored(spark, sf_dir):
     pts = sim_points(spark, sf_dir).persist()
     metrics, labels = sweep_k(pts, "query_id", "sims", KS, method="lloyd", iterations=LLOYD_ROUNDS)
     labels = labels.persist()
@@ -369,7 +375,12 @@ def _scored(spark, sf_dir):
     kw = topic_keywords(docs, "doc_id", "tk", member, "topic", top_n=COH_TOP_N)
     per_topic = coherence_cv(docs, "doc_id", "tk", kw, "topic", window=COH_WINDOW)
     coh = per_topic.groupBy((F.col("topic") / 100).cast("long").alias("k")).agg(F.avg("coherence").alias("coherence_cv"))
-    return score_k(metrics, coh).persist()
+    scored = score_k(metrics, coh)
+    # one row per k (14 rows): keep the table itself, not its long lineage
+    out = spark.createDataFrame(scored.collect(), scored.schema)
+    for d in (pts, labels, docs):
+        d.unpersist()
+    return out
 
 
 @query("k_scores", f"""
