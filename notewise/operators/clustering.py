@@ -540,6 +540,7 @@ def lloyd_many(df: DataFrame, vec: str, inits: dict, iterations: int = 10) -> di
         rows = _sums_many(data, vec, centres)
         for r in rows:
             centres[int(r["k"])][int(r["cluster"])] = np.asarray(r["s"], dtype=np.float64) / r["n"]
+    data.unpersist()
     return centres
 
 
@@ -598,6 +599,7 @@ def measures_many(df: DataFrame, id_col: str, vec: str, centres_by_k: dict,
                 "scatter": ssum[k][live] / sizes[k][live], "n": sizes[k].sum()}
         summ["overall"] = (summ["centroids"] * summ["sizes"][:, None]).sum(axis=0) / summ["n"]
         out.append({"k": k, "silhouette_score": sil[k], **summary_metrics(summ)})
+    data.unpersist()
     return out
 
 
