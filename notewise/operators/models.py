@@ -399,8 +399,6 @@ def forest_cv(df: DataFrame, y: str, features: Sequence[str], by: str | None = N
 def score_external(df: DataFrame, predict, features: Sequence[str], y: str, by: str | None = None,
                    fold_col: str = "fold", model: str = "External") -> DataFrame:
     """``predict(ndarray n x p) -> ndarray n`` applied per Arrow batch, then H4-H7."""
-    import pandas as pd
-
     keys = [by] if by else []
     cols = keys + [fold_col, y] + list(features)
 

@@ -13,9 +13,8 @@ from notewise.functions.text import cluster_label, note_tokens
 from notewise.functions.vectors import r4
 from notewise.operators.clustering import (cluster_summary, first_k_centres, kmeans, lloyd,
                                            lloyd_many, measures_many, project_2d, representatives, silhouette_profile,
-                                           silhouette_samples, summary_metrics)
-from notewise.operators.scoring import (best_k, elbow, k_summary, metrics_for, score_k, sweep_k,
-                                        top_candidates)
+                                           silhouette_samples)
+from notewise.operators.scoring import best_k, elbow, k_summary, metrics_for, score_k, sweep_k
 from notewise.operators.search import similarity_vectors
 from notewise.plans.fixtures import corpus_vectors, note_vectors
 from notewise.plans.q_search import _VECS

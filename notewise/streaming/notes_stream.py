@@ -10,7 +10,6 @@ location (a shared folder on a cluster).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewise.functions.text import clean_text
