@@ -418,3 +418,19 @@ def k_summary_q(spark, sf_dir):
     """D18 + A8: current k=6, the optimal k and the top-3 candidates."""
     s = k_summary(_scored(spark, sf_dir), current_k=6, top=3)
     return s.select("item", F.col("k").cast("bigint").alias("k"), *[r4(c).alias(c) for c in _SCORE_COLS])
+
+
+@query("k_top3", f"""
+{_SWEEP_WITH}
+SELECT CAST(k AS BIGINT) AS k, {R4('composite_score')} AS composite_score, {R4('silhouette_score')} AS silhouette_score,
+       {R4('davies_bouldin_index')} AS davies_bouldin_index, {R4('coherence_cv')} AS coherence_cv
+FROM scored WHERE composite_score IS NOT NULL ORDER BY composite_score DESC, k LIMIT 3
+""")
+def k_top3(spark, sf_dir):
+    """The three best k by composite (ties keep the smaller k), as reported."""
+    from notewise.operators.scoring import top_candidates
+
+    t = top_candidates(_scored(spark, sf_dir), 3)
+    return t.select(F.col("k").cast("bigint").alias("k"),
+                    *[r4(c).alias(c) for c in ("composite_score", "silhouette_score", "davies_bouldin_index",
+                                               "coherence_cv")])
