@@ -87,9 +87,9 @@ sets AS (
   FROM words),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 shared AS (SELECT g FROM items GROUP BY g HAVING count(*) > 1),
-some AS (SELECT i.* FROM items i JOIN shared USING (g)),
+met AS (SELECT i.* FROM items i JOIN shared USING (g)),
 links AS (
-  SELECT x.doc_id AS a, y.doc_id AS b FROM some x JOIN some y ON x.g = y.g AND x.doc_id <> y.doc_id
+  SELECT x.doc_id AS a, y.doc_id AS b FROM met x JOIN met y ON x.g = y.g AND x.doc_id <> y.doc_id
   GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
 nodes AS (SELECT doc_id AS id FROM documents),{_COMPONENTS}
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component AS component_id
