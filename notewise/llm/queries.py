@@ -13,6 +13,7 @@ from notewise.llm.ngram_join import ngram_join
 from notewise.llm.packing import pack
 from notewise.llm.quality import quality
 from notewise.llm.sharding import shard_documents
+from notewise.llm.substring_dedup import repeated_passages
 from notewise.llm.warc import archive_pages
 
 
@@ -66,8 +67,13 @@ def op9_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), "slot", "grown_shard")
 
 
+def op10_substring_dedup(spark, sf_dir):
+    """Passages that repeat across all documents."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_exact_dedup, op4_quality, op5_language_id,
-                                   op6_mixing, op7_warc, op8_embedding_dedup, op9_sharding)}
+                                   op6_mixing, op7_warc, op8_embedding_dedup, op9_sharding, op10_substring_dedup)}
 
 _COMPONENTS = """
 reach AS (
@@ -83,7 +89,7 @@ WITH RECURSIVE words AS (
          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+         ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
   FROM words),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 shared AS (SELECT g FROM items GROUP BY g HAVING count(*) > 1),
