@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming.
 
 Every text is cut into blocks of a fixed number of bytes.  The distinct blocks
-are sorted and named by integers in that order; then adjacent names are paired,
+are sorted (by a hash, then by content) and named by integers in that order; then adjacent names are paired,
 the distinct pairs are sorted and named again, and so on until each document has
 one name.  A name stands for one byte sequence only: no hash decides equality.
 
@@ -91,7 +91,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .mapInArrow(_name_locally(block_bytes), _LOCAL), "blocks")
     rows = put(local.filter("row IS NOT NULL").select("row", "win", "doc_id", "sha", "refs"), "rows")
     blocks = local.filter("local IS NOT NULL").select("block", "win", "local")
-    named = put(blocks.repartitionByRange(F.col("block")).sortWithinPartitions("block")
+    # sorted by hash, then content: range bounds are sampled as 8 bytes, and a common beginning is no hot range
+    named = put(blocks.withColumn("hash", F.xxhash64("block")).repartitionByRange("hash")
+                .sortWithinPartitions("hash", "block").select("block", "win", "local")
                 .mapInArrow(_number_runs, "win long, local long, name long"), "names")
     drop(local)
     release(spark)
