@@ -251,27 +251,48 @@ def fits(a, b):
     return 100 * np.minimum(a, b).astype(np.int64) >= PER_CENT * np.maximum(a, b).astype(np.int64)
 
 
-def _stored(k: int):
-    def low(key, n):
-        p = prefix_size(n)
-        return np.sort(key if p >= len(key) else np.partition(key, p - 1)[:p])
+def margin(n):
+    """Shingles that a pair must share in the longer prefixes of orders 2 and 3.
 
+    With m more shingles, the prefixes of any linked pair share m + 1: leaving out the last
+    required(n) - 1 - m of a set leaves out at most so many of the shared ones.
+    """
+    return 1 + n // 8
+
+
+def _lowest(key: np.ndarray) -> bytes:
+    """Longer prefix under the order of ``key``: the upper halves of its least values, sorted.
+
+    Another shingle may look the same in the upper half, a shared one never differs.
+    """
+    p = min(len(key), prefix_size(len(key)) - 1 + margin(len(key)))
+    key = key if p >= len(key) else np.partition(key, p - 1)[:p]
+    return np.sort(key >> U(32)).astype(np.uint32).tobytes()
+
+
+def _sets(batches, k: int):
+    for batch in batches:
+        for _, _, data, offsets in _texts(batch):
+            s = Sets(data, offsets, k)
+            rows = np.flatnonzero(s.n)
+            yield s, rows, [s.h[s.starts[i]:s.starts[i + 1]] for i in rows]
+
+
+def _second(k: int):
     def run(batches):
-        for batch in batches:
-            for _, _, data, offsets in _texts(batch):
-                s = Sets(data, offsets, k)
-                second, third = mix(s.h ^ _SECOND), mix(s.h ^ _THIRD)
-                rows = np.flatnonzero(s.n)
-                cols = [[], [], []]
-                for i in rows:
-                    a, b = s.starts[i], s.starts[i + 1]
-                    # the upper half of a fingerprint: another shingle may look the same, a shared one never differs
-                    cols[0].append((low(second[a:b], b - a) >> U(32)).astype(np.uint32).tobytes())
-                    cols[1].append((low(third[a:b], b - a) >> U(32)).astype(np.uint32).tobytes())
-                    cols[2].append(s.h[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.sig[rows]), *[pa.array(c, pa.binary()) for c in cols]],
-                    names=["sig", "second", "third", "members"])
+        for s, rows, sets in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.sig[rows]), pa.array(s.n[rows], pa.int64()),
+                 pa.array([_lowest(mix(h ^ _SECOND)) for h in sets], pa.binary())], names=["sig", "n", "second"])
+    return run
+
+
+def _third(k: int):
+    def run(batches):
+        for s, rows, sets in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.sig[rows]), pa.array([_lowest(mix(h ^ _THIRD)) for h in sets], pa.binary()),
+                 pa.array([h.tobytes() for h in sets], pa.binary())], names=["sig", "third", "members"])
     return run
 
 
@@ -284,31 +305,53 @@ def _overlap(a: bytes, b: bytes, kind) -> int:
     return int((b[at] == a).sum())
 
 
-def _share_prefixes(batches):
+def _share_second(batches):
     for batch in batches:
-        a2, a3, b2, b3 = (batch.column(i).to_pylist() for i in range(2, 6))
-        keep = [_overlap(p, q, np.uint32) > 0 and _overlap(r, t, np.uint32) > 0
-                for p, q, r, t in zip(a2, b2, a3, b3, strict=True)]
+        keep = [_overlap(p, q, np.uint32) >= min(margin(m), margin(n))
+                for m, p, n, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(batches):
+    """The third order's filter, then the whole sets."""
     for batch in batches:
-        keep = [linked(_overlap(p, q, np.uint64), len(p) // 8, len(q) // 8)
-                for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        keep = [_overlap(p, q, np.uint32) >= min(margin(len(x) // 8), margin(len(y) // 8))
+                and linked(_overlap(x, y, np.uint64), len(x) // 8, len(y) // 8)
+                for p, x, q, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share prefixes under orders 2 and 3 and reach the threshold."""
-    def side(names, at):
-        return sets.select(F.col("sig").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in names])
+def _fetch(docs: DataFrame, rows: DataFrame, sigs: DataFrame, kernel, schema: str, name: str) -> DataFrame:
+    """What ``kernel`` makes of one document of every signature in ``sigs``."""
+    need = rows.join(sigs.distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("need_id")) \
+        .select("need_id").distinct()
+    out = put(docs.join(need, F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi").mapInArrow(kernel, schema),
+              name)
+    release(docs.sparkSession)
+    return out
+
+
+def _both(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``table`` for either side."""
+    for at in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("sig").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in
+                                                                  table.columns if c != "sig"]), at)
+    return pairs.select("a", "b", *[f"{at}_{c}" for at in ("a", "b") for c in table.columns if c != "sig"])
 
-    both = pairs.join(side(["second", "third"], "a"), "a").join(side(["second", "third"], "b"), "b")
-    passed = put(both.select("a", "b", "a_second", "a_third", "b_second", "b_third")
-                 .mapInArrow(_share_prefixes, "a long, b long"), "passed")
-    both = passed.join(side(["members"], "a"), "a").join(side(["members"], "b"), "b")
-    return put(both.select("a", "b", "a_members", "b_members").mapInArrow(_verify, "a long, b long"), "links")
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+
+
+def _links(docs: DataFrame, rows: DataFrame, pairs: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) that also share prefixes under orders 2 and 3 and reach the threshold."""
+    passed = put(_both(pairs, second).mapInArrow(_share_second, "a long, b long"), "passed")
+    release(docs.sparkSession)
+    rest = _fetch(docs, rows, _ends(passed), _third(k), "sig long, third binary, members binary", "members")
+    links = put(_both(passed, rest).mapInArrow(_verify, "a long, b long"), "links")
+    drop(passed, rest)
+    release(docs.sparkSession)
+    return links
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
@@ -350,13 +393,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                 F.col("ny").alias("n")).distinct(), "lists")
     pairs = put(pairs, "pairs")
 
-    sigs = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(lists.select("sig")).distinct()
-    need = rows.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("need_id")) \
-        .select("need_id").distinct()
-    sets = put(docs.join(need, F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
-               .mapInArrow(_stored(k), "sig long, second binary, third binary, members binary"), "sets")
-    release(spark)
-    links = _links(pairs, sets)
+    second = _fetch(docs, rows, _ends(pairs).union(lists.select("sig")), _second(k),
+                    "sig long, n long, second binary", "second")
+    links = _links(docs, rows, pairs, second, k)
     classes = put(components(links), "classes")
 
     # lists whose members lie in several classes: all their pairs across classes
@@ -371,9 +410,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         more = put(more, "more")
         if not empty(more):
-            links = links.union(_links(more, sets))
+            links = links.union(_links(docs, rows, more, second, k))
             classes = put(components(links), "classes")
-    drop(found)
+    drop(found, second)
 
     owned = rows.join(classes.withColumnRenamed("id", "sig"), "sig", "left") \
         .withColumn("class", F.coalesce("component", "sig"))
