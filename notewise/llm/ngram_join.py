@@ -36,6 +36,8 @@ FREQUENT_FROM = 64
 #: Postings of a bucket on average, and members of a posting list that one task handles.
 BUCKET = 1_000_000
 LIST = 50_000
+#: Cells of the parity bitmap that rules out far pairs before the filters of orders 2 and 3.
+BITS = 1_024
 _SECOND, _THIRD = U(0x6A09E667F3BCC908), U(0xBB67AE8584CAA73B)
 
 
@@ -278,12 +280,23 @@ def _sets(batches, k: int):
             yield s, rows, [s.h[s.starts[i]:s.starts[i + 1]] for i in rows]
 
 
+def _parities(h: np.ndarray) -> bytes:
+    """For each of BITS cells, whether an odd number of the set's shingles fall into it.
+
+    Cells that differ between two sets are no more than the shingles that only one holds.
+    """
+    odd = np.bincount((h & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _second(k: int):
     def run(batches):
         for s, rows, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(s.sig[rows]), pa.array(s.n[rows], pa.int64()),
-                 pa.array([_lowest(mix(h ^ _SECOND)) for h in sets], pa.binary())], names=["sig", "n", "second"])
+                 pa.array([_parities(h) for h in sets], pa.binary()),
+                 pa.array([_lowest(mix(h ^ _SECOND)) for h in sets], pa.binary())],
+                names=["sig", "n", "bits", "second"])
     return run
 
 
@@ -305,6 +318,16 @@ def _overlap(a: bytes, b: bytes, kind) -> int:
     return int((b[at] == a).sum())
 
 
+def _close(batches):
+    """Pairs whose parities differ in no more cells than shingles may: na + nb - 2 * least overlap."""
+    for batch in batches:
+        n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+        bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (3, 5)]
+        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+        least = -(-PER_CENT * n // (100 + PER_CENT))
+        yield batch.select([0, 1]).filter(pa.array(apart <= n - 2 * least))
+
+
 def _share_second(batches):
     for batch in batches:
         keep = [_overlap(p, q, np.uint32) >= min(margin(m), margin(n))
@@ -345,7 +368,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, rows: DataFrame, pairs: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) that also share prefixes under orders 2 and 3 and reach the threshold."""
-    passed = put(_both(pairs, second).mapInArrow(_share_second, "a long, b long"), "passed")
+    close = put(_both(pairs, second.select("sig", "n", "bits")).mapInArrow(_close, "a long, b long"), "close")
+    passed = put(_both(close, second.select("sig", "n", "second")).mapInArrow(_share_second, "a long, b long"),
+                 "passed")
+    drop(close)
     release(docs.sparkSession)
     rest = _fetch(docs, rows, _ends(passed), _third(k), "sig long, third binary, members binary", "members")
     links = put(_both(passed, rest).mapInArrow(_verify, "a long, b long"), "links")
@@ -394,7 +420,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = put(pairs, "pairs")
 
     second = _fetch(docs, rows, _ends(pairs).union(lists.select("sig")), _second(k),
-                    "sig long, n long, second binary", "second")
+                    "sig long, n long, bits binary, second binary", "second")
     links = _links(docs, rows, pairs, second, k)
     classes = put(components(links), "classes")
 
