@@ -36,6 +36,9 @@ FREQUENT_FROM = 64
 #: Postings of a bucket on average, and members of a posting list that one task handles.
 BUCKET = 1_000_000
 LIST = 50_000
+#: Members of a list that are compared with one another at once, and rows of a group of such blocks on average.
+BLOCK = 2_048
+GROUP_ROWS = 50_000
 #: Cells of the parity bitmap that rules out far pairs before the filters of orders 2 and 3.
 BITS = 1_024
 _SECOND, _THIRD = U(0x6A09E667F3BCC908), U(0xBB67AE8584CAA73B)
@@ -328,6 +331,37 @@ def _close(batches):
         yield batch.select([0, 1]).filter(pa.array(apart <= n - 2 * least))
 
 
+def _across(table: pa.Table) -> pa.Table:
+    """Pairs of one list, from different classes, whose sizes and parities allow a link; a block pair at a time."""
+    table = table.sort_by([("list", "ascending"), ("low", "ascending"), ("high", "ascending"), ("sig", "ascending")])
+    col = {c: table.column(c).to_numpy() for c in ("list", "low", "high", "block", "sig", "n", "class")}
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+    new = np.ones(table.num_rows, bool)
+    new[1:] = (np.diff(col["list"]) != 0) | (np.diff(col["low"]) != 0) | (np.diff(col["high"]) != 0)
+    starts = np.append(np.flatnonzero(new), table.num_rows)
+    left, right = [], []
+    for a, b in zip(starts, starts[1:], strict=False):
+        sig, n, group = col["sig"][a:b], col["n"][a:b], col["class"][a:b]
+        cross = col["low"][a] != col["high"][a]
+        for at in range(0, b - a, 256):
+            s = slice(at, at + 256)
+            want = (group[s, None] != group) & fits(n[s, None], n) & (sig[s, None] < sig)
+            if cross:
+                want &= col["block"][a:b][s, None] != col["block"][a:b]
+            x, y = np.nonzero(want)
+            x += at
+            size = n[x] + n[y]
+            for p in range(0, len(x), 1 << 16):
+                q = slice(p, p + (1 << 16))
+                apart = np.bitwise_count(bits[a + x[q]] ^ bits[a + y[q]]).sum(1, dtype=np.int64)
+                keep = apart <= size[q] - 2 * -(-PER_CENT * size[q] // (100 + PER_CENT))
+                left.append(sig[x[q][keep]])
+                right.append(sig[y[q][keep]])
+    pairs = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right)]
+    pairs = np.unique(np.column_stack(pairs), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
 def _share_second(batches):
     for batch in batches:
         keep = [_overlap(p, q, np.uint32) >= min(margin(m), margin(n))
@@ -414,7 +448,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny") \
         .union(parts.join(heads, "x").filter("y != head.y").select(F.col("head.y").alias("a"), F.col("y").alias("b"),
                                                                 F.col("head.ny").alias("nx"), "ny")) \
-        .filter(_fits_sql("nx", "ny")).select("a", "b").distinct()
+        .filter(_fits_sql("nx", "ny")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     lists = put(found.filter("kind = 1").select(F.col("x").alias("list"), F.col("y").alias("sig"),
                                                 F.col("ny").alias("n")).distinct(), "lists")
     pairs = put(pairs, "pairs")
@@ -428,12 +462,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = lists.join(classes.withColumnRenamed("id", "sig"), "sig", "left") \
         .select("list", "sig", "n", F.coalesce("component", "sig").alias("class"))
     mixed = members.groupBy("list").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi")
-    members = put(members.join(mixed.select("list"), "list", "left_semi"), "members")
-    if not empty(members):
-        left = members.select("list", F.col("sig").alias("a"), F.col("n").alias("nx"), F.col("class").alias("ca"))
-        right = members.select("list", F.col("sig").alias("b"), F.col("n").alias("ny"), F.col("class").alias("cb"))
-        more = left.join(right, "list").filter("a < b AND ca != cb").filter(_fits_sql("nx", "ny")) \
-            .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    members = members.join(mixed.select("list"), "list", "left_semi")
+    sizes = put(members.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"),
+                                            F.count("*").alias("m")), "sizes")
+    if not empty(sizes):
+        rows_out = sizes.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0]
+        laid = members.join(sizes.select("list", "blocks"), "list") \
+            .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")) \
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")) \
+            .join(second.select("sig", "bits"), "sig") \
+            .withColumn("group", F.pmod(F.xxhash64("list", "low", "high"), F.lit(1 + rows_out // GROUP_ROWS)))
+        more = laid.select("group", "list", "low", "high", "block", "sig", "n", "class", "bits") \
+            .groupBy("group").applyInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         more = put(more, "more")
         if not empty(more):
             links = links.union(_links(docs, rows, more, second, k))
