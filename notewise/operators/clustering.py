@@ -9,8 +9,7 @@ Exact Euclidean silhouette is inherently O(n^2).  It is computed without
 ever materialising pairs: the points are cut into broadcast chunks of
 checked size, and each executor batch reduces its distances to one chunk
 into k per-cluster sums per row (one NumPy block at a time).  Chunks are
-merged by a per-row sum.  ``sample_fraction`` is offered for very large n,
-off by default.
+merged by a per-row sum.
 """
 
 from __future__ import annotations
@@ -276,17 +275,15 @@ def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def silhouette_samples(df: DataFrame, id_col: str, vec: str, cluster: str = "cluster",
-                       sample_fraction: float | None = None, seed: int = 42,
                        max_chunk_bytes: int = MAX_CHUNK_BYTES) -> DataFrame:
     """(id, cluster, a, b, silhouette) with exact Euclidean distances.
 
     a = mean distance to the other members of the own cluster, b = smallest
     mean distance to another cluster, s = (b - a) / max(a, b); a singleton
-    cluster scores 0.  With ``sample_fraction`` the scored rows are a sample,
-    the reference points stay complete.
+    cluster scores 0.
     """
     pts = df.select(id_col, vec, F.col(cluster).cast("long").alias("cluster"))
-    scored = pts.sample(fraction=sample_fraction, seed=seed) if sample_fraction else pts
+    scored = pts
     stats = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
     sizes_rows = pts.groupBy("cluster").count().collect()
@@ -355,10 +352,9 @@ def silhouette_samples(df: DataFrame, id_col: str, vec: str, cluster: str = "clu
     return res.select(id_col, "cluster", "a", "b", sil.alias("silhouette"))
 
 
-def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str = "cluster",
-               sample_fraction: float | None = None) -> float:
+def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str = "cluster") -> float:
     """Mean silhouette."""
-    s = silhouette_samples(df, id_col, vec, cluster, sample_fraction)
+    s = silhouette_samples(df, id_col, vec, cluster)
     return float(s.agg(F.avg("silhouette")).first()[0])
 
 

@@ -29,10 +29,4 @@ def R4(expr: str) -> str:
 
 def load_all() -> None:
     """Import every query module so the decorators run."""
-    from notewise.plans import q_search, q_text  # noqa: F401
-    for mod in ("q_cluster", "q_merge", "q_models", "q_topics"):
-        try:
-            __import__(f"notewise.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if f"notewise.plans.{mod}" not in str(e):
-                raise
+    from notewise.plans import q_cluster, q_merge, q_models, q_search, q_text, q_topics  # noqa: F401

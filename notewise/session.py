@@ -33,7 +33,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    is.  Only in local mode a scratch folder is created when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="notewise-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

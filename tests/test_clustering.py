@@ -112,12 +112,10 @@ def test_silhouette_squared_runs(spark):
     assert silhouette_squared(_points(spark, x, lab), "v") > 0.9
 
 
-def test_lsh_neighbours_subset_of_exact(spark):
-    from notewise.operators.topics import neighbour_pairs, neighbour_pairs_lsh
+def test_components_of_a_long_path(spark):
+    from notewise.operators.topics import connected_components
 
-    rng = np.random.default_rng(12)
-    x = np.vstack([rng.normal(size=(30, 3)) * 0.1, rng.normal(size=(30, 3)) * 0.1 + 5])
-    df = _points(spark, x)
-    exact = {(r.id, r.nb) for r in neighbour_pairs(df, "id", "v", 0.5).collect()}
-    approx = {(r.id, r.nb) for r in neighbour_pairs_lsh(df, "id", "v", 0.5).collect()}
-    assert approx <= exact and len(approx) >= 0.5 * len(exact)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(301), 900, 901, 950]], "id long")
+    got = {r["id"]: r["component"] for r in connected_components(edges, nodes).collect()}
+    assert got == {**{i: 0 for i in range(301)}, 900: 900, 901: 900, 950: 950}
