@@ -10,9 +10,11 @@ prefix shingles under orders 2 and 3, and only the pairs that pass all three are
 verified on the whole sets.
 
 Equal sets are one set with several documents.  The result needs the classes, not
-every pair, so a posting list first links its members to its smallest member; lists
-whose members then lie in several classes are compared across classes, which loses
-no link.  Lists of frequent shingles are split over tasks.
+every pair, so a posting list first links its members to its smallest member.  Lists
+whose members then lie in several classes are compared across classes, twice: the
+first pass checks a spanning forest of the closest pairs, which merges most classes,
+the second all pairs that are left between classes, which loses no link.  Lists of
+frequent shingles are split over tasks.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ BLOCK = 2_048
 GROUP_ROWS = 50_000
 #: Cells of the parity bitmap that rules out far pairs before the filters of orders 2 and 3.
 BITS = 1_024
+#: Ids that are broadcast at most to pick documents; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 _SECOND, _THIRD = U(0x6A09E667F3BCC908), U(0xBB67AE8584CAA73B)
 
 
@@ -117,25 +121,47 @@ class Frequent:
         self.items, self.counts = every[keep], total[keep]
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("item", pa.int64()),
-                      ("uses", pa.int64())])
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("bits", pa.binary()),
+                      ("item", pa.int64()), ("uses", pa.int64())])
+
+
+def _fresh(s: Sets, seen: set) -> np.ndarray:
+    """Flags of the non-empty sets that a task meets for the first time."""
+    fresh = np.zeros(len(s.n), bool)
+    for i, (sig, n) in enumerate(zip(s.sig.tolist(), s.n.tolist(), strict=True)):
+        if n and sig not in seen:
+            seen.add(sig)
+            fresh[i] = True
+    return fresh
+
+
+def _parities(h: np.ndarray) -> bytes:
+    """For each of BITS cells, whether an odd number of the set's shingles fall into it.
+
+    Cells that differ between two sets are no more than the shingles that only one holds.
+    """
+    odd = np.bincount((h & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
 def _profile(k: int):
     def run(batches):
-        summary = Frequent()
+        summary, seen = Frequent(), set()
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in _texts(batch):
                 s = Sets(data, offsets, k)
                 summary.add(s.h)
                 none = pa.nulls(b - a, pa.int64())
+                bits = [_parities(s.h[s.starts[i]:s.starts[i + 1]]) if new else None
+                        for i, new in enumerate(_fresh(s, seen))]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(s.n, pa.int64()), pa.array(s.sig),
-                                                  none, none], schema=_PROFILE)
+                                                  pa.array(bits, pa.binary()), none, none], schema=_PROFILE)
         summary.merge()
         keep = summary.counts > 1
         none = pa.nulls(int(keep.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(summary.items[keep].astype(np.int64)),
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()),
+                                          pa.array(summary.items[keep].astype(np.int64)),
                                           pa.array(summary.counts[keep])], schema=_PROFILE)
     return run
 
@@ -182,11 +208,7 @@ def _postings(shared, n_buckets: int, k: int, most: int):
         for batch in batches:
             for _, _, data, offsets in _texts(batch):
                 s = Sets(data, offsets, k)
-                fresh = np.zeros(len(s.n), bool)
-                for i, (sig, n) in enumerate(zip(s.sig.tolist(), s.n.tolist(), strict=True)):
-                    if n and sig not in seen:
-                        seen.add(sig)
-                        fresh[i] = True
+                fresh = _fresh(s, seen)
                 place = _rank(frequent, s.h)
                 key = np.where(place >= 0, U(1 << 63) + place.astype(np.uint64), s.h)
                 at = s.prefixes(key, fresh)
@@ -283,32 +305,17 @@ def _sets(batches, k: int):
             yield s, rows, [s.h[s.starts[i]:s.starts[i + 1]] for i in rows]
 
 
-def _parities(h: np.ndarray) -> bytes:
-    """For each of BITS cells, whether an odd number of the set's shingles fall into it.
-
-    Cells that differ between two sets are no more than the shingles that only one holds.
-    """
-    odd = np.bincount((h & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
+_STORED = "sig long, n long, second binary, third binary, members binary"
 
 
-def _second(k: int):
+def _stored(k: int):
+    """Prefixes under orders 2 and 3 and the whole sets."""
     def run(batches):
         for s, rows, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(s.sig[rows]), pa.array(s.n[rows], pa.int64()),
-                 pa.array([_parities(h) for h in sets], pa.binary()),
-                 pa.array([_lowest(mix(h ^ _SECOND)) for h in sets], pa.binary())],
-                names=["sig", "n", "bits", "second"])
-    return run
-
-
-def _third(k: int):
-    def run(batches):
-        for s, rows, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.sig[rows]), pa.array([_lowest(mix(h ^ _THIRD)) for h in sets], pa.binary()),
-                 pa.array([h.tobytes() for h in sets], pa.binary())], names=["sig", "third", "members"])
+                 *(pa.array([_lowest(mix(h ^ order)) for h in sets], pa.binary()) for order in (_SECOND, _THIRD)),
+                 pa.array([h.tobytes() for h in sets], pa.binary())], names=["sig", "n", "second", "third", "members"])
     return run
 
 
@@ -331,35 +338,75 @@ def _close(batches):
         yield batch.select([0, 1]).filter(pa.array(apart <= n - 2 * least))
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one list, from different classes, whose sizes and parities allow a link; a block pair at a time."""
-    table = table.sort_by([("list", "ascending"), ("low", "ascending"), ("high", "ascending"), ("sig", "ascending")])
-    col = {c: table.column(c).to_numpy() for c in ("list", "low", "high", "block", "sig", "n", "class")}
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-    new = np.ones(table.num_rows, bool)
-    new[1:] = (np.diff(col["list"]) != 0) | (np.diff(col["low"]) != 0) | (np.diff(col["high"]) != 0)
-    starts = np.append(np.flatnonzero(new), table.num_rows)
-    left, right = [], []
-    for a, b in zip(starts, starts[1:], strict=False):
-        sig, n, group = col["sig"][a:b], col["n"][a:b], col["class"][a:b]
-        cross = col["low"][a] != col["high"][a]
-        for at in range(0, b - a, 256):
-            s = slice(at, at + 256)
-            want = (group[s, None] != group) & fits(n[s, None], n) & (sig[s, None] < sig)
-            if cross:
-                want &= col["block"][a:b][s, None] != col["block"][a:b]
-            x, y = np.nonzero(want)
-            x += at
-            size = n[x] + n[y]
-            for p in range(0, len(x), 1 << 16):
-                q = slice(p, p + (1 << 16))
-                apart = np.bitwise_count(bits[a + x[q]] ^ bits[a + y[q]]).sum(1, dtype=np.int64)
-                keep = apart <= size[q] - 2 * -(-PER_CENT * size[q] // (100 + PER_CENT))
-                left.append(sig[x[q][keep]])
-                right.append(sig[y[q][keep]])
-    pairs = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right)]
-    pairs = np.unique(np.column_stack(pairs), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def _forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Edges (positions) of a minimum spanning forest over the classes ``group`` of the ends, by Boruvka's steps."""
+    _, ends = np.unique(np.concatenate([group[x], group[y]]), return_inverse=True)
+    order = np.argsort(weight, kind="stable")
+    u, v = ends[:len(x)][order], ends[len(x):][order]
+    root, left, picked = np.arange(int(ends.max(initial=-1)) + 1), np.arange(len(x)), []
+    while True:
+        left = left[root[u[left]] != root[v[left]]]
+        if not len(left):
+            return order[np.unique(np.concatenate(picked))] if picked else left
+        best = np.full(len(root), len(x))
+        np.minimum.at(best, root[u[left]], left)
+        np.minimum.at(best, root[v[left]], left)
+        edge = np.unique(best[best < len(x)])
+        picked.append(edge)
+        p, q, label = root[u[edge]], root[v[edge]], np.arange(len(root))
+        while (label[p] != label[q]).any():
+            low = np.minimum(label[p], label[q])
+            np.minimum.at(label, p, low)
+            np.minimum.at(label, q, low)
+            label = label[label]
+        root = label[root]
+
+
+def _across(forest: bool):
+    """Pairs of one list, from different classes, whose sizes and parities allow a link; a block pair at a time.
+
+    With ``forest`` only the closest pairs that span the classes of a block pair.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("list", "ascending"), ("low", "ascending"), ("high", "ascending"),
+                               ("sig", "ascending")])
+        col = {c: table.column(c).to_numpy() for c in ("list", "low", "high", "block", "sig", "n", "class")}
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        new = np.ones(table.num_rows, bool)
+        new[1:] = (np.diff(col["list"]) != 0) | (np.diff(col["low"]) != 0) | (np.diff(col["high"]) != 0)
+        starts = np.append(np.flatnonzero(new), table.num_rows)
+        none = np.zeros(0, np.int64)
+        left, right = [none], [none]
+        for a, b in zip(starts, starts[1:], strict=False):
+            sig, n, group = col["sig"][a:b], col["n"][a:b], col["class"][a:b]
+            cross = col["low"][a] != col["high"][a]
+            x_of, y_of, far = none, none, np.zeros(0)
+            for at in range(0, b - a, 256):
+                s = slice(at, at + 256)
+                want = (group[s, None] != group) & fits(n[s, None], n) & (sig[s, None] < sig)
+                if cross:
+                    want &= col["block"][a:b][s, None] != col["block"][a:b]
+                x, y = np.nonzero(want)
+                x += at
+                size = n[x] + n[y]
+                for p in range(0, len(x), 1 << 16):
+                    q = slice(p, p + (1 << 16))
+                    apart = np.bitwise_count(bits[a + x[q]] ^ bits[a + y[q]]).sum(1, dtype=np.int64)
+                    keep = apart <= size[q] - 2 * -(-PER_CENT * size[q] // (100 + PER_CENT))
+                    x_of, y_of = np.append(x_of, x[q][keep]), np.append(y_of, y[q][keep])
+                    far = np.append(far, (apart / size[q])[keep])
+                    if forest:
+                        span = _forest(x_of, y_of, far, group)
+                        x_of, y_of, far = x_of[span], y_of[span], far[span]
+                if not forest:
+                    left.append(sig[x_of])
+                    right.append(sig[y_of])
+                    x_of, y_of, far = none, none, np.zeros(0)
+            left.append(sig[x_of])
+            right.append(sig[y_of])
+        pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    return run
 
 
 def _share_second(batches):
@@ -378,12 +425,18 @@ def _verify(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _fetch(docs: DataFrame, rows: DataFrame, sigs: DataFrame, kernel, schema: str, name: str) -> DataFrame:
-    """What ``kernel`` makes of one document of every signature in ``sigs``."""
+def _some(ids: DataFrame) -> DataFrame:
+    """``ids``, written once, and to be broadcast only if there are no more than BROADCAST_IDS."""
+    ids = put(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _fetch(docs: DataFrame, rows: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
+    """Prefixes and whole set of one document of every signature in ``sigs``."""
     need = rows.join(sigs.distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("need_id")) \
         .select("need_id").distinct()
-    out = put(docs.join(need, F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi").mapInArrow(kernel, schema),
-              name)
+    out = put(docs.join(_some(need), F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
+              .mapInArrow(_stored(k), _STORED), "sets")
     release(docs.sparkSession)
     return out
 
@@ -400,20 +453,38 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
 
 
-def _links(docs: DataFrame, rows: DataFrame, pairs: DataFrame, second: DataFrame, k: int) -> DataFrame:
+def _links(docs: DataFrame, rows: DataFrame, close: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) that also share prefixes under orders 2 and 3 and reach the threshold."""
-    close = put(_both(pairs, second.select("sig", "n", "bits")).mapInArrow(_close, "a long, b long"), "close")
-    passed = put(_both(close, second.select("sig", "n", "second")).mapInArrow(_share_second, "a long, b long"),
+    sets = _fetch(docs, rows, _ends(close), k)
+    passed = put(_both(close, sets.select("sig", "n", "second")).mapInArrow(_share_second, "a long, b long"),
                  "passed")
-    drop(close)
     release(docs.sparkSession)
-    rest = _fetch(docs, rows, _ends(passed), _third(k), "sig long, third binary, members binary", "members")
-    links = put(_both(passed, rest).mapInArrow(_verify, "a long, b long"), "links")
-    drop(passed, rest)
+    links = put(_both(passed, sets.select("sig", "third", "members")).mapInArrow(_verify, "a long, b long"), "links")
+    drop(passed, sets)
     release(docs.sparkSession)
     return links
 
 
+def _mixed_pairs(lists: DataFrame, classes: DataFrame, bits: DataFrame, forest: bool) -> DataFrame | None:
+    """Pairs that :func:`_across` finds in the lists whose members lie in several classes; None without such lists."""
+    members = lists.join(classes.withColumnRenamed("id", "sig"), "sig", "left") \
+        .select("list", "sig", "n", F.coalesce("component", "sig").alias("class"))
+    mixed = members.groupBy("list").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
+                                        F.count("*").alias("m")).filter("lo != hi")
+    sizes = put(mixed.select("list", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks"), "m"), "sizes")
+    if empty(sizes):
+        return None
+    rows_out = sizes.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0]
+    laid = members.join(sizes.select("list", "blocks"), "list") \
+        .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")) \
+        .join(bits.select("sig", "bits"), "sig") \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")) \
+        .withColumn("group", F.pmod(F.xxhash64("list", "low", "high"), F.lit(1 + rows_out // GROUP_ROWS)))
+    return laid.select("group", "list", "low", "high", "block", "sig", "n", "class", "bits") \
+        .groupBy("group").applyInArrow(_across(forest), "a long, b long").distinct()
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
                list_size: int = LIST, bucket_size: int = BUCKET) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
@@ -426,7 +497,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = put(docs.mapInArrow(_profile(k), "doc_id long, n long, sig long, item long, uses long"), "profile")
+    profile = put(docs.mapInArrow(_profile(k), "doc_id long, n long, sig long, bits binary, item long, uses long"),
+                  "profile")
     rows = profile.filter("n IS NOT NULL").select("doc_id", "n", "sig")
     top = profile.filter("item IS NOT NULL").groupBy("item").agg(F.sum("uses").alias("uses")) \
         .filter(F.col("uses") >= FREQUENT_FROM).orderBy(F.desc("uses"), "item").limit(FREQUENT).toPandas()
@@ -453,33 +525,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                 F.col("ny").alias("n")).distinct(), "lists")
     pairs = put(pairs, "pairs")
 
-    second = _fetch(docs, rows, _ends(pairs).union(lists.select("sig")), _second(k),
-                    "sig long, n long, bits binary, second binary", "second")
-    links = _links(docs, rows, pairs, second, k)
+    bits = put(profile.filter("bits IS NOT NULL").select("sig", "n", "bits").dropDuplicates(["sig"]), "bits")
+    close = put(_both(pairs, bits).mapInArrow(_close, "a long, b long"), "close")
+    links = _links(docs, rows, close, k)
     classes = put(components(links), "classes")
 
-    # lists whose members lie in several classes: all their pairs across classes
-    members = lists.join(classes.withColumnRenamed("id", "sig"), "sig", "left") \
-        .select("list", "sig", "n", F.coalesce("component", "sig").alias("class"))
-    mixed = members.groupBy("list").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi")
-    members = members.join(mixed.select("list"), "list", "left_semi")
-    sizes = put(members.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"),
-                                            F.count("*").alias("m")), "sizes")
-    if not empty(sizes):
-        rows_out = sizes.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0]
-        laid = members.join(sizes.select("list", "blocks"), "list") \
-            .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")) \
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")) \
-            .join(second.select("sig", "bits"), "sig") \
-            .withColumn("group", F.pmod(F.xxhash64("list", "low", "high"), F.lit(1 + rows_out // GROUP_ROWS)))
-        more = laid.select("group", "list", "low", "high", "block", "sig", "n", "class", "bits") \
-            .groupBy("group").applyInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = put(more, "more")
-        if not empty(more):
-            links = links.union(_links(docs, rows, more, second, k))
-            classes = put(components(links), "classes")
-    drop(found, second)
+    # lists whose members lie in several classes: pairs across classes, first those that span them, then all
+    for forest in (True, False):
+        more = _mixed_pairs(lists, classes, bits, forest)
+        if more is None:
+            break
+        more = put(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        if empty(more):
+            continue
+        pairs, links = pairs.union(more), links.union(_links(docs, rows, more, k))
+        classes = put(components(links), "classes")
+    drop(found, bits, close)
 
     owned = rows.join(classes.withColumnRenamed("id", "sig"), "sig", "left") \
         .withColumn("class", F.coalesce("component", "sig"))
@@ -495,7 +556,9 @@ def _fits_sql(a: str, b: str) -> str:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one stays for each component (the smallest id), with all their columns."""
-    kept = put(ngram_join(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
+    mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = ngram_join(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_gone_id")) \
+        .agg(F.max(mine).alias("stays")).filter("NOT stays").select("_gone_id")
+    gone = _some(gone)
     release(docs.sparkSession)
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
