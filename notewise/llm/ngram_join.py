@@ -38,11 +38,12 @@ FREQUENT_FROM = 64
 #: Postings of a bucket on average, and members of a posting list that one task handles.
 BUCKET = 1_000_000
 LIST = 50_000
-#: Members of a list that are compared with one another at once, and rows of a group of such blocks on average.
+#: Members of a list that are compared with one another at once, and bitmap bytes of a group of such blocks on average.
 BLOCK = 2_048
-GROUP_ROWS = 50_000
-#: Cells of the parity bitmap that rules out far pairs before the filters of orders 2 and 3.
-BITS = 1_024
+GROUP_BYTES = 16 << 20
+#: Least and most cells of the parity bitmap that rules out far pairs before the filters of orders 2 and 3; a set has
+#: at least two cells a shingle between these.
+BITS, MOST_BITS = 1_024, 65_536
 #: Ids that are broadcast at most to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _SECOND, _THIRD = U(0x6A09E667F3BCC908), U(0xBB67AE8584CAA73B)
@@ -136,14 +137,24 @@ def _fresh(s: Sets, seen: set) -> np.ndarray:
 
 
 def _parities(h: np.ndarray) -> bytes:
-    """For each of BITS cells, whether an odd number of the set's shingles fall into it.
+    """For each of a power of two of cells, whether an odd number of the set's shingles fall into it.
 
     Cells that differ between two sets are no more than the shingles that only one holds.
     """
-    odd = np.bincount((h & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    cells = min(MOST_BITS, max(BITS, 1 << (2 * len(h) - 1).bit_length()))
+    odd = np.bincount((h & U(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap of ``size`` bytes of the same set: cells that fall together add their parities."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8))
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 def _profile(k: int):
     def run(batches):
         summary, seen = Frequent(), set()
@@ -332,8 +343,12 @@ def _close(batches):
     """Pairs whose parities differ in no more cells than shingles may: na + nb - 2 * least overlap."""
     for batch in batches:
         n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-        bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (3, 5)]
-        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+        left, right = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+        width = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], int)
+        apart = np.zeros(len(n), np.int64)
+        for size in np.unique(width).tolist():
+            at = np.flatnonzero(width == size)
+            apart[at] = _differ(*(np.array([_folded(side[i], size) for i in at]) for side in (left, right)))
         least = -(-PER_CENT * n // (100 + PER_CENT))
         yield batch.select([0, 1]).filter(pa.array(apart <= n - 2 * least))
 
@@ -371,7 +386,8 @@ def _across(forest: bool):
         table = table.sort_by([("list", "ascending"), ("low", "ascending"), ("high", "ascending"),
                                ("sig", "ascending")])
         col = {c: table.column(c).to_numpy() for c in ("list", "low", "high", "block", "sig", "n", "class")}
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        bits = table.column("bits").to_pylist()
+        width = np.array([len(x) for x in bits], int)
         new = np.ones(table.num_rows, bool)
         new[1:] = (np.diff(col["list"]) != 0) | (np.diff(col["low"]) != 0) | (np.diff(col["high"]) != 0)
         starts = np.append(np.flatnonzero(new), table.num_rows)
@@ -379,7 +395,14 @@ def _across(forest: bool):
         left, right = [none], [none]
         for a, b in zip(starts, starts[1:], strict=False):
             sig, n, group = col["sig"][a:b], col["n"][a:b], col["class"][a:b]
-            cross = col["low"][a] != col["high"][a]
+            cross, wide = col["low"][a] != col["high"][a], width[a:b]
+            # sets of a pair are of similar size, so their bitmaps are as wide or one is twice the other
+            folded, place = {}, {}
+            for size in np.unique(wide).tolist():
+                held = np.flatnonzero((wide == size) | (wide == 2 * size))
+                folded[size] = np.array([_folded(bits[a + i], size) for i in held])
+                place[size] = np.zeros(b - a, np.int64)
+                place[size][held] = np.arange(len(held))
             x_of, y_of, far = none, none, np.zeros(0)
             for at in range(0, b - a, 256):
                 s = slice(at, at + 256)
@@ -388,16 +411,19 @@ def _across(forest: bool):
                     want &= col["block"][a:b][s, None] != col["block"][a:b]
                 x, y = np.nonzero(want)
                 x += at
-                size = n[x] + n[y]
-                for p in range(0, len(x), 1 << 16):
-                    q = slice(p, p + (1 << 16))
-                    apart = np.bitwise_count(bits[a + x[q]] ^ bits[a + y[q]]).sum(1, dtype=np.int64)
-                    keep = apart <= size[q] - 2 * -(-PER_CENT * size[q] // (100 + PER_CENT))
-                    x_of, y_of = np.append(x_of, x[q][keep]), np.append(y_of, y[q][keep])
-                    far = np.append(far, (apart / size[q])[keep])
-                    if forest:
-                        span = _forest(x_of, y_of, far, group)
-                        x_of, y_of, far = x_of[span], y_of[span], far[span]
+                both = np.minimum(wide[x], wide[y])
+                for size in np.unique(both).tolist():
+                    here, step = np.flatnonzero(both == size), (8 << 20) // size
+                    for p in range(0, len(here), step):
+                        i, j = x[here[p:p + step]], y[here[p:p + step]]
+                        total = n[i] + n[j]
+                        apart = _differ(folded[size][place[size][i]], folded[size][place[size][j]])
+                        keep = apart <= total - 2 * -(-PER_CENT * total // (100 + PER_CENT))
+                        x_of, y_of = np.append(x_of, i[keep]), np.append(y_of, j[keep])
+                        far = np.append(far, (apart / total)[keep])
+                        if forest:
+                            span = _forest(x_of, y_of, far, group)
+                            x_of, y_of, far = x_of[span], y_of[span], far[span]
                 if not forest:
                     left.append(sig[x_of])
                     right.append(sig[y_of])
@@ -475,12 +501,13 @@ def _mixed_pairs(lists: DataFrame, classes: DataFrame, bits: DataFrame, forest:
     if empty(sizes):
         return None
     rows_out = sizes.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0]
+    bytes_out = int(rows_out * (bits.agg(F.avg(F.octet_length("bits"))).first()[0] or 0))
     laid = members.join(sizes.select("list", "blocks"), "list") \
         .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")) \
         .join(bits.select("sig", "bits"), "sig") \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")) \
-        .withColumn("group", F.pmod(F.xxhash64("list", "low", "high"), F.lit(1 + rows_out // GROUP_ROWS)))
+        .withColumn("group", F.pmod(F.xxhash64("list", "low", "high"), F.lit(1 + bytes_out // GROUP_BYTES)))
     return laid.select("group", "list", "low", "high", "block", "sig", "n", "class", "bits") \
         .groupBy("group").applyInArrow(_across(forest), "a long, b long").distinct()
 
