@@ -127,16 +127,27 @@ def _score_folds(df: DataFrame, features: Sequence[str], y: str, coefs: dict, ke
 # Ridge on standardised features (population std from the training set)
 # ---------------------------------------------------------------------------
 
+# Variance of a column, as a share of its mean square, that sums of squares
+# cannot tell from zero.
+FLAT = 1e-10
+
+
 def ridge_solve(st: dict, alpha: float = 1.0):
-    """(intercept, w) in original units from training sums."""
+    """(intercept, w) in original units from training sums.
+
+    A column whose variance is within rounding of zero (``FLAT`` of its mean
+    square) is constant: its weight is 0.
+    """
     n = st["n"]
     mu = st["sx"] / n
     ybar = st["sy"] / n
-    cov = st["sxx"] / n - np.outer(mu, mu)
-    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    sd = np.where(sd == 0, 1.0, sd)
+    square = np.diag(st["sxx"]) / n
+    var = square - mu * mu
+    flat = var <= FLAT * square
+    sd = np.sqrt(np.where(flat, 1.0, var))
     zz = (st["sxx"] - n * np.outer(mu, mu)) / np.outer(sd, sd)
     zy = (st["sxy"] - n * mu * ybar) / sd
+    zz[flat], zz[:, flat], zy[flat] = 0.0, 0.0, 0.0
     b = np.linalg.solve(zz + alpha * np.eye(len(mu)), zy)
     w = b / sd
     return ybar - mu @ w, w

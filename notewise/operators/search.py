@@ -137,17 +137,22 @@ def top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec: str,
         ids, mat = _corpus_matrix(corpus, corpus_id, corpus_vec)
         return _topk_arrow(queries, query_id, query_vec, ids, mat, k, sc, qtype)
 
-    # Large corpus: bounded chunks by a hash of the id; every chunk is checked
-    # against the bound before it is collected.
-    keyed = corpus.withColumn("_chunk", F.pmod(F.xxhash64(F.col(corpus_id)), F.lit(chunks)))
+    # Large corpus: bounded chunks by a hash of the row; chunks are doubled
+    # until each holds no more than the bound, before any is collected.
     limit_rows = max(1, max_bytes // (max(d, 1) * 8 + 16))
-    sizes = {r["_chunk"]: r["n"] for r in keyed.groupBy("_chunk").count().withColumnRenamed("count", "n").collect()}
+    while True:
+        keyed = corpus.withColumn("_chunk", F.pmod(F.xxhash64(F.col(corpus_id), F.col(corpus_vec)), F.lit(chunks)))
+        sizes = {r["_chunk"]: r["n"] for r in
+                 keyed.groupBy("_chunk").count().withColumnRenamed("count", "n").collect()}
+        if max(sizes.values(), default=0) <= limit_rows or chunks > 64 * n:
+            break
+        chunks *= 2
     parts = []
     for c in range(chunks):
         if sizes.get(c, 0) == 0:
             continue
         if sizes[c] > limit_rows:
-            raise ValueError(f"corpus chunk {c} has {sizes[c]} rows > bound {limit_rows}; raise chunks")
+            raise ValueError(f"{sizes[c]} equal corpus rows exceed the bound of {limit_rows}")
         ids, mat = _corpus_matrix(keyed.filter(F.col("_chunk") == c), corpus_id, corpus_vec)
         parts.append(_topk_arrow(queries, query_id, query_vec, ids, mat, k, sc, qtype))
     allp = parts[0]

@@ -20,21 +20,6 @@ from notewise.sources.tables import load
 # Fixed value: size of the theme corpus of the original workload.
 CORPUS_ROWS = 20
 
-_MEMO: dict = {}
-
-
-def memo(spark: SparkSession, key: tuple, build):
-    """Reuse a persisted intermediate across queries of one application.
-
-    Several registered queries start from the same modelling frame or k
-    sweep; within one Spark application the persisted result is shared
-    (lineage stays intact, so lost cache blocks are recomputed).
-    """
-    k = (spark.sparkContext.applicationId,) + tuple(key)
-    if k not in _MEMO:
-        _MEMO[k] = build()
-    return _MEMO[k]
-
 
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = load(spark, sf_dir, "embeddings")
@@ -108,10 +93,6 @@ SIM_COLS = [f"sim_{r}" for r in range(1, 6)]
 
 
 def model_frame(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> tuple[DataFrame, dict]:
-    return memo(spark, ("model_frame", sf_dir, tuple(drugs)), lambda: _model_frame(spark, sf_dir, drugs))
-
-
-def _model_frame(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> tuple[DataFrame, dict]:
     """Modelling table + features + participant folds.
 
     Returns (frame, names) where names lists the feature columns of each

@@ -360,12 +360,6 @@ _SCORE_COLS = ["silhouette_score", "davies_bouldin_index", "calinski_harabasz_sc
 
 def _scored(spark, sf_dir):
     """Lloyd sweep measures + C_V per k over the notes' texts, normalised and combined."""
-    from notewise.plans.fixtures import memo
-
-    return memo(spark, ("k_scored", sf_dir), lambda: _build_scored(spark, sf_dir))
-
-
-def _build_scored(spark, sf_dir):
     pts = sim_points(spark, sf_dir).persist()
     metrics, labels = sweep_k(pts, "query_id", "sims", KS, method="lloyd", iterations=LLOYD_ROUNDS)
     labels = labels.persist()

@@ -76,3 +76,12 @@ def test_ridge_matches_closed_form(spark):
 def test_small_stats():
     assert t_ppf(0.975, 4) == pytest.approx(2.776445, abs=1e-6)
     assert two_sided_p(1.959964) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_ridge_gives_a_constant_column_no_weight(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(0.1, float(x), float(2 * x)) for x in rng.normal(size=101)],
+                               "c double, x double, y double")
+    b0, w = ridge_solve(gram_by(df, ["c", "x"], "y", [])[()], alpha=1.0)
+    alone0, alone = ridge_solve(gram_by(df, ["x"], "y", [])[()], alpha=1.0)
+    assert w[0] == 0.0 and w[1] == pytest.approx(alone[0]) and b0 == pytest.approx(alone0)

@@ -43,6 +43,16 @@ def test_chunked_corpus_equals_single_pass(spark):
     assert [(a[0], a[1], a[2]) for a in one] == [(b[0], b[1], b[2]) for b in many]
 
 
+def test_corpus_over_the_bound_is_split_until_it_fits(spark):
+    rng = np.random.default_rng(2)
+    q, c = rng.normal(size=(10, 4)), rng.normal(size=(300, 4))
+    qdf, cdf = _frames(spark, q, c)
+    one = sorted(tuple(r) for r in top_k(qdf, cdf, "qid", "v", "cid", "v", 5).collect())
+    # 48 bytes a row: at most 40 of the 300 rows at once, where the average chunk is just full
+    many = sorted(tuple(r) for r in top_k(qdf, cdf, "qid", "v", "cid", "v", 5, max_bytes=40 * 48).collect())
+    assert [(a[0], a[1], a[2]) for a in one] == [(b[0], b[1], b[2]) for b in many]
+
+
 def test_similarity_vectors_order_by_corpus_id(spark):
     qdf, cdf = _frames(spark, [[1.0, 0.0]], [[0.0, 1.0], [1.0, 0.0]])
     r = similarity_vectors(qdf, cdf, "qid", "v", "cid", "v").collect()[0]
