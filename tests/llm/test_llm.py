@@ -130,6 +130,29 @@ def test_prefix_filters_never_lose_a_link():
         assert ngram_join._overlap(*low, np.uint32) >= min(ngram_join.margin(len(a)), ngram_join.margin(len(b)))
 
 
+def test_parity_bitmaps_and_forest():
+    rnd = np.random.default_rng(7)
+    for n in (3, 200, 511, 513, 3_000, 40_000):
+        a = np.unique(rnd.integers(0, 2**62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[len(a) // 8:], rnd.integers(0, 2**62, n // 9).astype(np.uint64)]))
+        p, q = ngram_join._parities(a), ngram_join._parities(b)
+        size = min(len(p), len(q))
+        x, y = ngram_join._folded(p, size), ngram_join._folded(q, size)
+        assert int(ngram_join._differ(x[None], y[None])[0]) <= len(np.setxor1d(a, b))
+    for _ in range(50):
+        group = rnd.integers(0, 12, 30)
+        x, y = rnd.integers(0, 30, 60), rnd.integers(0, 30, 60)
+        x, y = x[group[x] != group[y]], y[group[x] != group[y]]
+        span = ngram_join._forest(x, y, rnd.random(len(x)), group)
+        roots = []
+        for edges in (range(len(x)), span):
+            parent = {int(g): int(g) for g in group}
+            for i in edges:
+                parent[find(parent, int(group[x[i]]))] = find(parent, int(group[y[i]]))
+            roots.append(sum(g == r for g, r in parent.items()))
+        assert roots[0] == roots[1] and len(span) == len(set(group.tolist())) - roots[0]
+
+
 def test_language_id(docs, corpus, nothing):
     rows = {r["doc_id"]: r for r in language_id.language_id(docs).collect()}
     assert all(rows[r[0]]["lang_pred"] == "und" for r in corpus if r[1] is None or not re.search(r"[^\W\d_]", r[1]))
