@@ -35,8 +35,9 @@ COUNTERS = 65_536
 FREQUENT = 100_000
 #: Documents from which a shingle counts as frequent.
 FREQUENT_FROM = 64
-#: Postings of a bucket on average, and members of a posting list that one task handles.
-BUCKET = 1_000_000
+#: Postings of a bucket on average (some 100 bytes each while its lists are compared), and members of a posting list
+#: that one task handles.
+BUCKET = 250_000
 LIST = 50_000
 #: Members of a list that are compared with one another at once, and bitmap bytes of a group of such blocks on average.
 BLOCK = 2_048
@@ -106,7 +107,7 @@ class Frequent:
     def add(self, items: np.ndarray):
         self.waiting.append(items)
         self.held += len(items)
-        if self.held > 1 << 20:
+        if self.held > 1 << 18:
             self.merge()
 
     def merge(self):

@@ -55,7 +55,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def runs(offsets: np.ndarray, most: int = 1 << 21):
+def runs(offsets: np.ndarray, most: int = 1 << 20):
     """Consecutive row ranges of about ``most`` bytes; a longer text stands alone."""
     at, n = 0, len(offsets) - 1
     while at < n:
