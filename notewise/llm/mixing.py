@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,8 +149,11 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
         for s, at in phase["at"].items():
             gone = phase["length"] // phase["size"] * len(at) + sum(x < phase["length"] % phase["size"] for x in at)
             plan.append((s, p, phase["start"], phase["size"], phase["first"][s], phase["first"][s] + gone, at))
-    table = spark.createDataFrame(plan, "s_ string, phase int, start_ long, size_ long, from_ long, to_ long, "
-                                        "at_ array<long>")
+    # an Arrow table stays in the JVM; a list of rows would start Python workers on the executors
+    names = ("s_", "phase", "start_", "size_", "from_", "to_", "at_")
+    kinds = (pa.string(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()))
+    table = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in plan], kind)
+                                            for i, (c, kind) in enumerate(zip(names, kinds, strict=True))}))
     joined = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["s_"])
                        & (rows["block"] >= table["from_"]) & (rows["block"] < table["to_"]))
     k = F.col("block") - F.col("from_")
