@@ -41,10 +41,12 @@ BUCKET = 250_000
 LIST = 50_000
 #: Members of a list that are compared with one another at once, and bitmap bytes of a group of such blocks on average.
 BLOCK = 2_048
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 #: Least and most cells of the parity bitmap that rules out far pairs before the filters of orders 2 and 3; a set has
 #: at least two cells a shingle between these.
 BITS, MOST_BITS = 1_024, 65_536
+#: Bytes of joined rows that are compared at once.
+SLICE_BYTES = 8 << 20
 #: Ids that are broadcast at most to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _SECOND, _THIRD = U(0x6A09E667F3BCC908), U(0xBB67AE8584CAA73B)
@@ -340,9 +342,18 @@ def _overlap(a: bytes, b: bytes, kind) -> int:
     return int((b[at] == a).sum())
 
 
+def _small(batches):
+    """The batches in slices of about SLICE_BYTES; memory that Arrow keeps is given back at the end."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
+
+
 def _close(batches):
     """Pairs whose parities differ in no more cells than shingles may: na + nb - 2 * least overlap."""
-    for batch in batches:
+    for batch in _small(batches):
         n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
         left, right = batch.column(3).to_pylist(), batch.column(5).to_pylist()
         width = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], int)
@@ -388,10 +399,11 @@ def _across(forest: bool):
                                ("sig", "ascending")])
         col = {c: table.column(c).to_numpy() for c in ("list", "low", "high", "block", "sig", "n", "class")}
         bits = table.column("bits").to_pylist()
-        width = np.array([len(x) for x in bits], int)
         new = np.ones(table.num_rows, bool)
+        del table
+        width = np.array([len(x) for x in bits], int)
         new[1:] = (np.diff(col["list"]) != 0) | (np.diff(col["low"]) != 0) | (np.diff(col["high"]) != 0)
-        starts = np.append(np.flatnonzero(new), table.num_rows)
+        starts = np.append(np.flatnonzero(new), len(new))
         none = np.zeros(0, np.int64)
         left, right = [none], [none]
         for a, b in zip(starts, starts[1:], strict=False):
@@ -437,7 +449,7 @@ def _across(forest: bool):
 
 
 def _share_second(batches):
-    for batch in batches:
+    for batch in _small(batches):
         keep = [_overlap(p, q, np.uint32) >= min(margin(m), margin(n))
                 for m, p, n, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -445,7 +457,7 @@ def _share_second(batches):
 
 def _verify(batches):
     """The third order's filter, then the whole sets."""
-    for batch in batches:
+    for batch in _small(batches):
         keep = [_overlap(p, q, np.uint32) >= min(margin(len(x) // 8), margin(len(y) // 8))
                 and linked(_overlap(x, y, np.uint64), len(x) // 8, len(y) // 8)
                 for p, x, q, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
