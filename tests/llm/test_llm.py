@@ -341,6 +341,48 @@ def test_repeated_passages(docs, corpus, nothing):
         == [(30, 60, 0, 30)]
 
 
+def test_repeated_passages_find_what_no_pivot_holds(spark):
+    """Pairs of variants at 0.75 to 1 that share one frequent line with many texts, against all pairs."""
+    ship_package(spark)
+    rnd, t = random.Random(5), substring_dedup.MIN_WORDS - substring_dedup.WORDS + 1
+
+    def text(n):
+        return [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+
+    line, texts = text(30), []
+    for _ in range(40):
+        texts.append(text(40) + line + text(40))
+    for _ in range(15):  # two variants of a passage around the line, each in a text of its own
+        left, right = text(25), text(25)
+        for _ in range(2):
+            body = left + line + right
+            body[rnd.randrange(len(body))] = text(1)[0]
+            texts.append(text(30) + body + text(30))
+    rnd.shuffle(texts)
+    data = [" ".join(x) for x in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(x.encode()) for x in data])))
+    seq = substring_dedup.Sequences(np.frombuffer("".join(data).encode(), np.uint8), offsets)
+    value, row, l, r = substring_dedup.compact_windows(seq.h, seq.row, seq.starts, t)
+    near = {i: [] for i in range(len(data))}
+    for a, b in itertools.combinations(range(len(data)), 2):
+        x, y = np.flatnonzero(row == a), np.flatnonzero(row == b)
+        p, q = np.nonzero(value[x][:, None] == value[y])
+        p, q = x[p], y[q]
+        sa, sb = (seq.h[seq.starts[i]:seq.starts[i + 1]] for i in (a, b))
+        for la, ra, lb, rb in substring_dedup.regions(value[p] & np.uint64(7), l[p], r[p], l[q], r[q], t):
+            if substring_dedup.passages(sa[la:ra + 1], sb[lb:rb + 1], t):
+                near[a].append(b)
+                near[b].append(a)
+    want = {i for i, x in near.items() if x}
+    assert len(want) >= 20
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    for options in ({}, {"flush_at": 300, "bucket_size": 500, "block": 4, "cells": 50}):
+        got = substring_dedup.repeated_passages(docs, **options).collect()
+        first = {r["doc_id"]: r["first_doc"] for r in got}
+        assert set(first) == want
+        assert all(first[i] == first[j] for i in want for j in near[i])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
