@@ -5,7 +5,8 @@ DataFrame.  :func:`run` writes each stage's rows as Parquet in the shared folder
 gives them, read again, to the next.  All stages but the last keep the columns of
 ``documents``.  Documents leave when their language is rejected, when they are exact
 copies (the largest doc_id stays) or near copies (the smallest stays); mixing then
-orders what is left, and packing returns one row per document with its batch.
+orders what is left, and packing returns one row per document with its batch, which
+follows the mix inside each length bucket.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from notewise.llm.common import put
 from notewise.llm.exact_dedup import drop_copies
 from notewise.llm.language_id import keep_identified
-from notewise.llm.mixing import mixed_documents
+from notewise.llm.mixing import mixed_documents, places
 from notewise.llm.ngram_join import keep_one
 from notewise.llm.packing import pack
 from notewise.session import ship_package
 
 
+#: Target weights of the sources; None weighs them by their size, as mixing does by default.
+WEIGHTS = None
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return keep_identified(docs)
@@ -38,12 +43,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return mixed_documents(docs)
+    return mixed_documents(docs, weights=WEIGHTS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return pack(docs)
+    return pack(docs, order=places(docs, weights=WEIGHTS))
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixing", mixing), ("packing", packing)]

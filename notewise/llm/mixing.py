@@ -165,11 +165,17 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
         "position", "phase")
 
 
+def places(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """Slot and position in the mix of every id and source of ``docs``, under the names that these have there."""
+    return put(mix_sources(docs, id_col=id_col, source_col=source_col, **options)
+               .groupBy(F.col("doc_id").alias(id_col), F.col("source").alias(source_col))
+               .agg(F.min("slot").alias("_slot"), F.min("position").alias("_position")), "mix")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """All rows of ``docs``, sorted by their place in the mix (files follow the schedule)."""
-    order = put(mix_sources(docs, id_col=id_col, source_col=source_col, **options)
-                .groupBy(F.col("doc_id").alias("_mixed_id"), F.col("source").alias("_mixed_source"))
-                .agg(F.min("slot").alias("_slot"), F.min("position").alias("_position")), "mix")
+    order = places(docs, id_col, source_col, **options) \
+        .withColumnsRenamed({id_col: "_mixed_id", source_col: "_mixed_source"})
     met = docs.join(order, F.col(id_col).cast("long").eqNullSafe(F.col("_mixed_id"))
                     & F.col(source_col).cast("string").eqNullSafe(F.col("_mixed_source")))
     return met.repartitionByRange("_slot", "_position", F.col("_mixed_id")) \

@@ -75,17 +75,26 @@ def optimal_bounds(histogram: list[tuple[int, int]], buckets: int = BUCKETS) ->
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", order: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, bucket, bucket_len, batch, slot, padding.
 
     Buckets are numbered from 0 by rising length.  A batch holds
     ``max(1, token_budget // bucket_len)`` documents of one bucket in the order
-    of doc_id; a document longer than the budget is a batch of its own.  Texts
+    of doc_id, or of ``order``: its columns that ``docs`` has too name a document,
+    the others rank it.  A document longer than the budget is a batch of its own.  Texts
     without words have 0 tokens and take part like others.  The driver receives
     one pair per distinct token count, which the longest text bounds.
     """
-    rows = put(docs.select(F.col(id_col).cast("long").alias("doc_id"), n_tokens(text_col).alias("n_tokens")),
-               "lengths")
+    names = [c for c in order.columns if c in docs.columns] if order is not None else []
+    rows = put(docs.select(F.col(id_col).cast("long").alias("doc_id"), n_tokens(text_col).alias("n_tokens"),
+                           *[F.col(c).alias(f"_of_{c}") for c in names]), "lengths")
+    by = ["doc_id"]
+    if order is not None:
+        ranks = [c for c in order.columns if c not in names]
+        same = F.lit(True)
+        for c in names:
+            same &= rows[f"_of_{c}"].eqNullSafe(order[c])
+        rows, by = rows.join(order, same, "left").select(rows["doc_id"], "n_tokens", *ranks), [*ranks, "doc_id"]
     histogram = [(r["n_tokens"], r["n"]) for r in
                  rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()]
     _, bounds = optimal_bounds(histogram, buckets)
@@ -93,7 +102,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
         bucket = F.when(F.col("n_tokens") > low, F.lit(k + 1)).otherwise(bucket)
         width = F.when(F.col("n_tokens") > low, F.lit(high).cast("long")).otherwise(width)
-    ranked = rank_in_key(rows.withColumn("bucket", bucket).withColumn("bucket_len", width), "bucket", ["doc_id"])
+    ranked = rank_in_key(rows.withColumn("bucket", bucket).withColumn("bucket_len", width), "bucket", by)
     per = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("long")
     return ranked.select("doc_id", "n_tokens", "bucket", "bucket_len",
                          F.expr("rank_").alias("rank_"), per.alias("per_")) \

@@ -396,3 +396,20 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == ids
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert len({texts[i] for i in ids}) == len(ids) > 0.85 * len(set(texts.values()))
+
+
+def test_packing_follows_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, "word " * 50, "a" if i < 400 else "b") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = []
+    for weights in ({"a": .5, "b": .5}, {"a": .2, "b": .8}):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        at = {r["doc_id"]: (r["slot"], r["position"]) for r in mixing.mix_sources(docs, weights).collect()}
+        packed = corpus_pipeline.packing(spark, docs, "").collect()
+        assert len({r["bucket"] for r in packed}) == 1
+        packed.sort(key=lambda r: (r["batch"], r["slot"]))
+        assert [r["doc_id"] for r in packed] == sorted(at, key=at.get)
+        got.append({r["doc_id"]: (r["batch"], r["slot"]) for r in packed})
+    assert got[0] != got[1]
