@@ -6,15 +6,19 @@ floor(k / w) and due at ceil((k + 1) / w).  In every slot the released block wit
 the earliest deadline goes out (ties: the tie-breaks of PD2), which keeps every
 source within less than one block of weight * slots at all times.
 
-Weights are multiples of 1 / ``quantum``, so the schedule repeats after
-``quantum`` slots: the driver schedules one period, and Spark places every block
-by arithmetic.  When a source runs out, the others go on in a new phase with
+Weights are exact fractions (a float is the decimal that it prints as), so the
+schedule repeats after their common denominator of slots.  The driver schedules one
+period, or up to the slot in which a source runs out if that is earlier (with such
+weights it holds one number per block), and Spark places every block by arithmetic.  When a source runs out, the others go on in a new phase with
 their weights scaled up to one; nothing is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
+from math import lcm
+from numbers import Rational
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +27,6 @@ from pyspark.sql import functions as F
 from notewise.llm.common import put, rank_in_key
 
 BLOCK_ROWS = 16
-#: Slots of a period; weights are rounded to multiples of 1 / QUANTUM, at least one each.
-QUANTUM = 1024
 #: Default target weight of a source: its number of blocks to this power, scaled to a sum of one.
 ALPHA = 0.5
 
@@ -43,9 +45,20 @@ def quantise(weights: dict, quantum: int) -> dict:
     return shares
 
 
-def period(shares: dict) -> list:
+def exact(weights: dict) -> dict:
+    """The weights as whole shares of their sum, in lowest terms."""
+    fractions = {s: Fraction(w) if isinstance(w, Rational) else Fraction(repr(float(w))) for s, w in weights.items()}
+    total = sum(fractions.values())
+    parts = {s: w / total for s, w in fractions.items()}
+    period_ = lcm(*(w.denominator for w in parts.values()))
+    return {s: int(w * period_) for s, w in parts.items()}
+
+
+def period(shares: dict, blocks: dict | None = None) -> list:
     """Source of every slot of one period, by earliest deadline among released blocks.
 
+    With ``blocks``, it ends after the slot in which a source gives the last of its blocks.
+
     With shares q out of Q, block k has release k*Q // q, deadline ceil((k+1)*Q / q).
     Ties go to blocks whose window overlaps the next one (b bit 1), then to the
     larger group deadline, then by name.
@@ -72,8 +85,9 @@ def period(shares: dict) -> list:
 
     waiting = [(0, place[s], s, 0) for s in names]
     heapq.heapify(waiting)
-    ready, out = [], []
-    for slot in range(quantum):
+    ready, out, slot = [], [], -1
+    while len(out) < quantum:
+        slot += 1
         while waiting and waiting[0][0] <= slot:
             _, _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (*entry(s, k), s))
@@ -81,27 +95,32 @@ def period(shares: dict) -> list:
             raise AssertionError("an idle slot: shares do not fill the period")
         *_, k, _, s = heapq.heappop(ready)
         out.append(s)
+        if blocks is not None and k + 1 >= blocks[s]:
+            break
         heapq.heappush(waiting, (max(window(s, k + 1)[0], slot + 1), place[s], s, k + 1))
     return out
 
 
-def phases(blocks: dict, weights: dict, quantum: int = QUANTUM) -> list[dict]:
+def phases(blocks: dict, weights: dict, quantum: int | None = None) -> list[dict]:
     """Phases until all blocks are out; each ends when a source has no block left.
 
     A phase has its first slot, its length, the period's slots of each source and
-    the first block of each source.  There are no more phases than sources.
+    the first block of each source.  There are no more phases than sources.  With
+    ``quantum``, weights are rounded to multiples of 1 / quantum.
     """
     left, done, start, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
     left = {s: n for s, n in left.items() if n > 0}
     while left:
-        shares = quantise({s: weights[s] for s in left}, quantum)
-        slots = period(shares)
+        targets = {s: weights[s] for s in left}
+        shares = exact(targets) if quantum is None else quantise(targets, quantum)
+        slots = period(shares, left)
         at = {s: [] for s in left}
         for i, s in enumerate(slots):
             at[s].append(i)
         size = len(slots)
         # slot after which the first source has given its last block
-        ends = {s: (n - 1) // len(at[s]) * size + at[s][(n - 1) % len(at[s])] + 1 for s, n in left.items()}
+        ends = {s: (n - 1) // len(at[s]) * size + at[s][(n - 1) % len(at[s])] + 1
+                for s, n in left.items() if at[s]} if len(slots) == sum(shares.values()) else {None: size}
         length = min(ends.values())
         out.append({"start": start, "length": length, "size": size, "at": at, "first": {s: done[s] for s in left},
                     "shares": shares})
@@ -121,7 +140,7 @@ def default_weights(blocks: dict, alpha: float = ALPHA) -> dict:
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS,
-                quantum: int = QUANTUM, alpha: float = ALPHA, id_col: str = "doc_id",
+                quantum: int | None = None, alpha: float = ALPHA, id_col: str = "doc_id",
                 source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, source, block, slot, position, phase.
 
@@ -130,7 +149,10 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
     ``weights`` maps every source to a positive target; without it a source
     weighs its blocks to the power ``alpha``.  A null source is a source of its
     own.  Sources and their block counts go to the driver: their number is that
-    of the entries of the target mix.  No rows in, no rows out.
+    of the entries of the target mix.  With ``quantum``, weights are rounded to
+    multiples of 1 / quantum; else the schedule is of the weights as given, and the
+    driver holds the slots of a phase's period, at most one per block.  No rows in,
+    no rows out.
     """
     spark = docs.sparkSession
     rows = rank_in_key(docs.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -144,25 +166,30 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
     missing = [s for s in counts if not weights.get(s, 0) > 0]
     if missing:
         raise ValueError(f"no positive weight for {missing[:5]}")
-    plan = []
+    plan, ids, places_, slots = [], [], [], []
     for p, phase in enumerate(phases(counts, weights, quantum)):
         for s, at in phase["at"].items():
             gone = phase["length"] // phase["size"] * len(at) + sum(x < phase["length"] % phase["size"] for x in at)
-            plan.append((s, p, phase["start"], phase["size"], phase["first"][s], phase["first"][s] + gone, at))
-    # an Arrow table stays in the JVM; a list of rows would start Python workers on the executors
-    names = ("s_", "phase", "start_", "size_", "from_", "to_", "at_")
-    kinds = (pa.string(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()))
+            if gone:
+                ids += [len(plan)] * len(at)
+                places_ += range(len(at))
+                slots += at
+                plan.append((s, p, phase["start"], phase["size"], phase["first"][s], phase["first"][s] + gone,
+                             len(plan), len(at)))
+    # Arrow tables stay in the JVM; a list of rows would start Python workers on the executors
+    names = ("s_", "phase", "start_", "size_", "from_", "to_", "id_", "n_")
+    kinds = (pa.string(), pa.int32(), *[pa.int64()] * 6)
     table = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in plan], kind)
                                             for i, (c, kind) in enumerate(zip(names, kinds, strict=True))}))
+    at = spark.createDataFrame(pa.table({c: pa.array(x, pa.int64()) for c, x in
+                                         (("at_id", ids), ("at_k", places_), ("at_slot", slots))}))
     joined = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["s_"])
-                       & (rows["block"] >= table["from_"]) & (rows["block"] < table["to_"]))
-    k = F.col("block") - F.col("from_")
-    n = F.size("at_").cast("long")
-    return joined.withColumn("k_", k).withColumn("n_", n).select(
-        "doc_id", "source", "block",
-        (F.col("start_") + F.expr("k_ div n_") * F.col("size_")
-         + F.element_at("at_", (F.col("k_") % F.col("n_") + 1).cast("int"))).alias("slot"),
-        "position", "phase")
+                       & (rows["block"] >= table["from_"]) & (rows["block"] < table["to_"])) \
+        .withColumn("k_", F.col("block") - F.col("from_"))
+    joined = joined.join(at, (F.col("id_") == F.col("at_id")) & (F.expr("k_ % n_") == F.col("at_k")))
+    return joined.select("doc_id", "source", "block",
+                         (F.col("start_") + F.expr("k_ div n_") * F.col("size_") + F.col("at_slot")).alias("slot"),
+                         "position", "phase")
 
 
 def places(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:

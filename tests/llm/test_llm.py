@@ -413,3 +413,30 @@ def test_packing_follows_the_mix(spark, monkeypatch):
         assert [r["doc_id"] for r in packed] == sorted(at, key=at.get)
         got.append({r["doc_id"]: (r["batch"], r["slot"]) for r in packed})
     assert got[0] != got[1]
+
+
+def test_mix_keeps_the_given_weights(spark):
+    rnd = random.Random(11)
+    cases = [({"a": .9, "b": .1}, 40_000), ({"a": .9, "b": .0999, "c": .0001}, 30_000),
+             ({str(i): (i + 1) ** 2 for i in range(1_500)}, 4_000), ({str(i): rnd.random() ** 3 for i in range(12)}, 5_000)]
+    for weights, slots in cases:
+        total = sum(weights.values())
+        part = {s: w / total for s, w in weights.items()}
+        phase = mixing.phases({s: slots for s in weights}, weights)[0]
+        order = [None] * phase["size"]
+        for s, at in phase["at"].items():
+            for x in at:
+                order[x] = s
+        assert None not in order
+        given = dict.fromkeys(weights, 0)
+        many = len(weights) > 100
+        for t in range(1, min(slots, phase["length"]) + 1):
+            given[order[(t - 1) % phase["size"]]] += 1
+            if not many or t % 97 == 0:
+                assert all(abs(given[s] - part[s] * t) < 1 + 1e-6 for s in weights)
+    docs = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(6_000)], "doc_id long, source string")
+    rows = mixing.mix_sources(docs, {"a": .9003, "b": .0997}, block_rows=1).collect()
+    order = [r["source"] for r in sorted(rows, key=lambda r: r["slot"])]
+    assert sorted(r["slot"] for r in rows) == list(range(6_000))
+    ends = max(r["slot"] for r in rows if r["phase"] == 0) + 1
+    assert all(abs(order[:t].count("a") - .9003 * t) < 1 + 1e-6 for t in range(1, ends, 37))
