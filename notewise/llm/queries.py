@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewise.llm.divergence_audit import source_divergence
 from notewise.llm.embedding_dedup import near_embeddings
 from notewise.llm.exact_dedup import exact_dedup
 from notewise.llm.language_id import language_id
@@ -72,8 +73,14 @@ def op10_substring_dedup(spark, sf_dir):
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark, sf_dir):
+    """Divergence of all sources inside their language."""
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_exact_dedup, op4_quality, op5_language_id,
-                                   op6_mixing, op7_warc, op8_embedding_dedup, op9_sharding, op10_substring_dedup)}
+                                   op6_mixing, op7_warc, op8_embedding_dedup, op9_sharding, op10_substring_dedup,
+                                   op11_divergence)}
 
 _COMPONENTS = """
 reach AS (
@@ -115,5 +122,40 @@ nodes AS (SELECT vec_id AS id FROM v),{_COMPONENTS}
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component AS component_id,
        id = component AS kept
 FROM classes
+""",
+    "op11_divergence": r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+hits AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM hits GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+met AS (SELECT lang, source, term, count(*) AS c FROM hits JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(m.c, 0) AS c
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN met m USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, c, CAST(1 + (CAST(1000000000 AS HUGEINT) * (c + 2))
+         // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS HUGEINT) AS p
+  FROM dense JOIN sizes USING (lang)),
+whole AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(c) + 2))
+         // (sum(sum(c)) OVER (PARTITION BY lang) + 2 * any_value(v)) AS HUGEINT) AS q
+  FROM dense JOIN sizes USING (lang) GROUP BY lang, term),
+gaps AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN gaps ON gaps.lang = g.lang AND gaps.source = g.source AND gaps.item = o.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT)
+  FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }
