@@ -31,13 +31,14 @@ MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
 #: Bytes of text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits of the bitmap of live prefixes (8 MB); fixed, so the broadcast does not grow with the data.
 FILTER_BITS = 1 << 26
 #: Bits of a piece of the bitmap.
 PIECE_BITS = 1 << 16
-#: Cells (terms x sources) of a group of terms.
-CELLS = 1 << 20
+#: Cells (terms x sources) of a group of terms; languages of many sources take more, up to MOST_CELLS.
+CELLS = 1 << 17
+MOST_CELLS = 1 << 22
 #: Rows that a join on the language alone is split into.
 SALTS = 64
 #: Cells of the documents x prefixes table that a block marks directly; beyond, pairs are sorted.
@@ -378,7 +379,8 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     langs = groups.groupBy("lang").agg(F.count("*").alias("n_sources")).join(
         kept.groupBy("lang").agg(F.count("*").alias("terms")), "lang", "left") \
         .select("lang", F.coalesce("terms", F.lit(0)).alias("terms"), "n_sources")
-    langs = put(langs.withColumn("buckets", (F.lit(1) + F.expr(f"(terms * n_sources) div {int(cells)}")).cast("long")),
+    langs = put(langs.withColumn("buckets", (F.lit(1) + F.expr(
+        f"(terms * n_sources) div greatest({int(cells)}, least({MOST_CELLS}, 4 * n_sources * n_sources))")).cast("long")),
                 "langs")
     salt = F.pmod(F.xxhash64("prefix"), F.lit(SALTS)).cast("int")
     kept = kept.withColumn("salt", salt).join(

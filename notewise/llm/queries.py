@@ -10,6 +10,7 @@ from notewise.llm.embedding_dedup import near_embeddings
 from notewise.llm.exact_dedup import exact_dedup
 from notewise.llm.language_id import language_id
 from notewise.llm.mixing import mix_sources
+from notewise.llm.neighbour_graph import nearest_neighbours
 from notewise.llm.ngram_join import ngram_join
 from notewise.llm.packing import pack
 from notewise.llm.quality import quality
@@ -78,9 +79,14 @@ def op11_divergence(spark, sf_dir):
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_neighbours(spark, sf_dir):
+    """The ten nearest of all embeddings to each row whose id is divisible by 100."""
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_exact_dedup, op4_quality, op5_language_id,
                                    op6_mixing, op7_warc, op8_embedding_dedup, op9_sharding, op10_substring_dedup,
-                                   op11_divergence)}
+                                   op11_divergence, op12_neighbours)}
 
 _COMPONENTS = """
 reach AS (
