@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def _pack(kind):
         for batch in batches:
             v = batch.column("v")
             flat = np.asarray(v.flatten()).astype(kind)
-            size = np.asarray(pa.compute.list_value_length(v)).astype(np.int64)
+            size = np.asarray(pc.list_value_length(v)).astype(np.int64)
             bounds = np.concatenate(([0], np.cumsum(size))) * np.dtype(kind).itemsize
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size),
                                                    [None, pa.py_buffer(bounds), pa.py_buffer(flat)])

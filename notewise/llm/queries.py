@@ -13,6 +13,7 @@ from notewise.llm.mixing import mix_sources
 from notewise.llm.neighbour_graph import nearest_neighbours
 from notewise.llm.ngram_join import ngram_join
 from notewise.llm.packing import pack
+from notewise.llm.prefix_trie import prefix_trie
 from notewise.llm.quality import quality
 from notewise.llm.sharding import shard_documents
 from notewise.llm.substring_dedup import repeated_passages
@@ -84,9 +85,14 @@ def op12_neighbours(spark, sf_dir):
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_prefix_trie(spark, sf_dir):
+    """Trie of all rebuilt conversations."""
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_exact_dedup, op4_quality, op5_language_id,
                                    op6_mixing, op7_warc, op8_embedding_dedup, op9_sharding, op10_substring_dedup,
-                                   op11_divergence, op12_neighbours)}
+                                   op11_divergence, op12_neighbours, op13_prefix_trie)}
 
 _COMPONENTS = """
 reach AS (
@@ -163,5 +169,45 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
   FROM parts)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+""",
+    "op13_prefix_trie": """
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+              ORDER BY i) AS crc FROM range(256) r(i)),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+         ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, xor(list_reduce(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+           lambda x: CAST(ascii(CAST(conv_id AS VARCHAR)[x]) AS BIGINT)),
+         lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+rebuilt AS (
+  SELECT c.conv_id, t.i, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE t.i < h
+  UNION ALL
+  SELECT c.conv_id, t.i, role, text FROM convs c JOIN turns t USING (conv_id) WHERE t.i >= h),
+placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, octet_length(encode(text)) AS bytes,
+         sha256(length(role) || ':' || role || text) AS turn FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, bytes, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node
+  FROM placed
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs),
+lens AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+up AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM paths),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs,
+         any_value(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                                             FILTER (n = depth), '') AS ends
+  FROM up JOIN lens USING (conv_id) GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+facts AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+below AS (
+  SELECT p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved
+  FROM facts f JOIN paths p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.node)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM facts f JOIN below USING (node) LEFT JOIN facts p ON p.node = f.parent
 """,
 }
