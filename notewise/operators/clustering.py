@@ -5,33 +5,33 @@ data -- assignment, centre sums, distances, silhouette sums -- runs on the
 executors; only k x d centres and k-row summaries reach the driver, the same
 split MLlib's own K-means uses.
 
-Exact Euclidean silhouette is inherently O(n^2).  It is computed without
-ever materialising pairs: the points are cut into broadcast chunks of
-checked size, and each executor batch reduces its distances to one chunk
-into k per-cluster sums per row (one NumPy block at a time).  Chunks are
-merged by a per-row sum.
+Exact Euclidean silhouette is inherently O(n^2).  It is a join of blocks of
+points (:mod:`notewise.operators.pairwise`): the task of a pair of blocks
+reduces its distances to k per-cluster sums per point, and the sums of a
+point are added up by a shuffle.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bound on the bytes of point vectors broadcast per silhouette chunk.
-MAX_CHUNK_BYTES = 128 << 20
-# Bound on the temporary (batch x chunk x dims) block inside one task.
-BLOCK_BYTES = 32 << 20
+from notewise.operators.pairwise import distance_sums, map_block_pairs
 
 
 def _matrix(series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.zeros((0, 0))
 
 
+def _lists(m: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+
+
 def _dims(df: DataFrame, vec: str) -> int:
     return int(df.select(F.max(F.size(vec))).first()[0] or 0)
 
@@ -275,77 +275,43 @@ def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def silhouette_samples(df: DataFrame, id_col: str, vec: str, cluster: str = "cluster",
-                       max_chunk_bytes: int = MAX_CHUNK_BYTES) -> DataFrame:
+                       block_rows: int | None = None) -> DataFrame:
     """(id, cluster, a, b, silhouette) with exact Euclidean distances.
 
     a = mean distance to the other members of the own cluster, b = smallest
     mean distance to another cluster, s = (b - a) / max(a, b); a singleton
-    cluster scores 0.
+    cluster scores 0.  Each pair of blocks of points gives k sums per point;
+    the sums of a point over all blocks meet in one aggregation.  Rows without a
+    vector take no part.
     """
-    pts = df.select(id_col, vec, F.col(cluster).cast("long").alias("cluster"))
-    scored = pts
-    stats = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    sizes_rows = pts.groupBy("cluster").count().collect()
-    cids = sorted(int(r["cluster"]) for r in sizes_rows)
-    sizes = {int(r["cluster"]): int(r["count"]) for r in sizes_rows}
-    k = len(cids)
-    per_row = d * 8 + 16
-    chunks = max(1, math.ceil(n * per_row / max_chunk_bytes))
-    sc = df.sparkSession.sparkContext
-    id_type = pts.schema[id_col].dataType
-    sum_cols = [f"s{j}" for j in range(k)]
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("cluster", T.LongType())]
-                          + [T.StructField(c, T.DoubleType()) for c in sum_cols])
-    parts = []
-    keyed = pts.withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks))) if chunks > 1 else None
-    for ch in range(chunks):
-        src = keyed.filter(F.col("_chunk") == ch) if keyed is not None else pts
-        pdf = src.select(vec, "cluster").toPandas()
-        mat = _matrix(pdf[vec])
-        onehot = np.zeros((len(pdf), k))
-        if len(pdf):
-            onehot[np.arange(len(pdf)), np.searchsorted(cids, pdf["cluster"].to_numpy())] = 1.0
-        bc = sc.broadcast((mat, onehot))
-
-        def kernel(batches, bc=bc):
-            y, oh = bc.value
-            m = max(1, y.shape[0])
-            step = max(1, BLOCK_BYTES // (m * max(d, 1) * 8))
-            for pdf_ in batches:
-                if len(pdf_) == 0:
-                    continue
-                x = _matrix(pdf_[vec])
-                sums = np.zeros((len(pdf_), k))
-                for i in range(0, len(x), step):
-                    blk = x[i:i + step]
-                    dist = np.sqrt(((blk[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-                    sums[i:i + step] = dist @ oh
-                out = pd.DataFrame({id_col: pdf_[id_col].to_numpy(), "cluster": pdf_["cluster"].astype(np.int64)})
-                for j, c in enumerate(sum_cols):
-                    out[c] = sums[:, j]
-                yield out
-
-        parts.append(scored.select(id_col, vec, "cluster").mapInPandas(kernel, schema))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    if chunks > 1:
-        allp = allp.groupBy(id_col, "cluster").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    pts = df.select(id_col, vec, F.col(cluster).cast("long").alias("cluster")).filter(F.col(vec).isNotNull())
+    sizes = {int(r["cluster"]): int(r["count"]) for r in pts.groupBy("cluster").count().collect()}
+    cids = sorted(sizes)
+    k, codes = len(cids), np.array(cids, dtype=np.int64)
+    d = _dims(pts, vec)
+    schema = T.StructType([T.StructField(id_col, pts.schema[id_col].dataType), T.StructField("cluster", T.LongType()),
+                           T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def member(block):
+        out = np.zeros((len(block), k))
+        out[np.arange(len(block)), np.searchsorted(codes, block.extra["cluster"].to_numpy())] = 1.0
+        return out
+
+    def kernel(x, y, same):
+        for block, sums in zip((x, y), distance_sums(x, y, same, member(x), member(y)), strict=True):
+            if sums is not None:
+                yield pa.table({id_col: block.ids, "cluster": block.extra["cluster"], "sums": _lists(sums)})
+
+    allp = map_block_pairs(pts, id_col, vec, kernel, schema, ("cluster",), 8 * (d + 2 * k) + 16, block_rows) \
+        .groupBy(id_col, "cluster").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(k)]).alias("sums"))
     # a: own cluster sum / (n_own - 1); b: min over other clusters of sum / n_c
-    own_n = F.element_at(F.lit([sizes[c] for c in cids]).cast("array<double>"),
-                         F.array_position(F.lit(cids).cast("array<bigint>"), F.col("cluster")).cast("int"))
-    sums_arr = F.array(*[F.col(c) for c in sum_cols])
-    means = F.transform(F.arrays_zip(sums_arr.alias("s"), F.lit(cids).cast("array<bigint>").alias("c"),
-                                     F.lit([sizes[c] for c in cids]).cast("array<double>").alias("n")),
-                        lambda z: F.struct(z["c"].alias("c"), (z["s"] / z["n"]).alias("m"), z["s"].alias("s")))
-    res = allp.select(id_col, "cluster", means.alias("m"), own_n.alias("n_own"))
-    own_sum = F.aggregate(F.filter("m", lambda z: z["c"] == F.col("cluster")), F.lit(0.0),
-                          lambda acc, z: acc + z["s"])
-    others = F.filter("m", lambda z: z["c"] != F.col("cluster"))
-    b = F.array_min(F.transform(others, lambda z: z["m"]))
-    a = F.when(F.col("n_own") > 1, own_sum / (F.col("n_own") - 1))
-    res = res.select(id_col, "cluster", a.alias("a"), b.alias("b"), "n_own")
+    ids, counts = F.lit(cids).cast("array<bigint>"), F.lit([sizes[c] for c in cids]).cast("array<double>")
+    place = F.array_position(ids, F.col("cluster")).cast("int")
+    res = allp.select(id_col, "cluster", F.arrays_zip(F.col("sums").alias("s"), ids.alias("c"), counts.alias("n")).alias("m"),
+                      F.element_at(counts, place).alias("n_own"), F.element_at("sums", place).alias("own"))
+    b = F.array_min(F.transform(F.filter("m", lambda z: z["c"] != F.col("cluster")), lambda z: z["s"] / z["n"]))
+    res = res.select(id_col, "cluster", F.when(F.col("n_own") > 1, F.col("own") / (F.col("n_own") - 1)).alias("a"),
+                     b.alias("b"), "n_own")
     sil = F.when((F.col("n_own") <= 1) | F.col("b").isNull(), F.lit(0.0)) \
         .when(F.greatest("a", "b") == 0, F.lit(0.0)) \
         .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
@@ -562,13 +528,12 @@ def assign_many(df: DataFrame, id_col: str, vec: str, centres_by_k: dict) -> Dat
 
 
 def measures_many(df: DataFrame, id_col: str, vec: str, centres_by_k: dict,
-                  max_chunk_bytes: int = MAX_CHUNK_BYTES) -> list[dict]:
+                  block_rows: int | None = None, with_silhouette: bool = True) -> list[dict]:
     """All per-k measures (D5-D7, D9-D11) for nearest-centre labelings.
 
     Pass 1: sizes and centroids per (k, cluster).  Pass 2: squared and plain
-    distances to the centroids.  Silhouette: for each bounded chunk of
-    points, one pass whose tasks turn a (batch x chunk) distance block into
-    per-cluster sums for every k with one matrix product.
+    distances to the centroids.  Silhouette (unless switched off): one
+    block-pair join for every k together.
     """
     data = df.select(id_col, vec).persist()
     ks = sorted(centres_by_k)
@@ -587,91 +552,74 @@ def measures_many(df: DataFrame, id_col: str, vec: str, centres_by_k: dict,
         k, j = int(r["k"]), int(r["cluster"])
         w[k][j] = r["w"]
         ssum[k][j] = r["dsum"]
-    sil = _silhouette_many(data, id_col, vec, centres_by_k, sizes, max_chunk_bytes)
+    sil = _silhouette_many(data, id_col, vec, centres_by_k, sizes, block_rows) if with_silhouette else {}
     out = []
     for k in ks:
         live = sizes[k] > 0
         summ = {"sizes": sizes[k][live], "centroids": centroids[k][live], "wcss": w[k][live],
                 "scatter": ssum[k][live] / sizes[k][live], "n": sizes[k].sum()}
         summ["overall"] = (summ["centroids"] * summ["sizes"][:, None]).sum(axis=0) / summ["n"]
-        out.append({"k": k, "silhouette_score": sil[k], **summary_metrics(summ)})
+        out.append({"k": k, "silhouette_score": sil.get(k), **summary_metrics(summ)})
     data.unpersist()
     return out
 
 
 def _silhouette_many(data: DataFrame, id_col: str, vec: str, centres_by_k: dict, sizes: dict,
-                     max_chunk_bytes: int) -> dict:
+                     block_rows: int | None = None) -> dict:
+    """Mean silhouette per k: one block-pair join whose tasks sum the distances for every k with one product."""
     ks = sorted(centres_by_k)
-    n = int(sum(sizes[ks[0]]))
     d = next(iter(centres_by_k.values())).shape[1]
-    chunks = max(1, math.ceil(n * (d * 8 + 16) / max_chunk_bytes))
     offsets = np.cumsum([0] + [centres_by_k[k].shape[0] for k in ks])
     total = int(offsets[-1])
-    sc = data.sparkSession.sparkContext
-    cents = {k: np.asarray(centres_by_k[k], dtype=np.float64) for k in ks}
-    sz = {k: np.asarray(sizes[k], dtype=np.float64) for k in ks}
-    keyed = data.withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks))) if chunks > 1 else None
-    id_type = data.schema[id_col].dataType
-    parts = []
-    for ch in range(chunks):
-        src = keyed.filter(F.col("_chunk") == ch) if keyed is not None else data
-        y = _matrix(src.select(vec).toPandas()[vec])
-        onehot = np.zeros((len(y), total))
-        for i, k in enumerate(ks):
-            if len(y):
-                onehot[np.arange(len(y)), offsets[i] + _labels(y, cents[k])] = 1.0
-        bc = sc.broadcast((y, onehot))
-
-        def kernel(batches, bc=bc):
-            yy, oh = bc.value
-            step = max(1, BLOCK_BYTES // (max(1, yy.shape[0]) * max(d, 1) * 8))
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                x = _matrix(pdf[vec])
-                sums = np.zeros((len(x), total))
-                for i in range(0, len(x), step):
-                    blk = x[i:i + step]
-                    sums[i:i + step] = np.sqrt(((blk[:, None, :] - yy[None, :, :]) ** 2).sum(axis=2)) @ oh
-                yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "sums": list(sums)})
-
-        schema = T.StructType([T.StructField(id_col, id_type),
-                               T.StructField("sums", T.ArrayType(T.DoubleType()))])
-        parts.append(data.select(id_col, vec).mapInPandas(kernel, schema))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    if chunks > 1:
-        allp = allp.groupBy(id_col).agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(total)]).alias("sums"))
-    # join the vectors back only to label each row (a per-row key join)
-    rows = allp.join(data, id_col)
-    bc2 = sc.broadcast((cents, sz, offsets))
+    bc = data.sparkSession.sparkContext.broadcast(
+        ({k: np.asarray(centres_by_k[k], dtype=np.float64) for k in ks},
+         {k: np.asarray(sizes[k], dtype=np.float64) for k in ks}))
+    schema = T.StructType([T.StructField(id_col, data.schema[id_col].dataType),
+                           T.StructField("own", T.ArrayType(T.LongType())),
+                           T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def member(block):
+        cents, _ = bc.value
+        labels = np.stack([offsets[i] + _labels(block.x, cents[k]) for i, k in enumerate(ks)], axis=1)
+        out = np.zeros((len(block), total))
+        np.put_along_axis(out, labels, 1.0, axis=1)
+        return labels, out
+
+    def kernel(x, y, same):
+        (lx, mx), (ly, my) = member(x), member(y)
+        for block, labels, sums in zip((x, y), (lx, ly), distance_sums(x, y, same, mx, my), strict=True):
+            if sums is not None:
+                yield pa.table({id_col: block.ids, "own": _lists(labels), "sums": _lists(sums)})
+
+    allp = map_block_pairs(data, id_col, vec, kernel, schema, (), 8 * (d + 2 * total) + 16, block_rows) \
+        .groupBy(id_col).agg(F.first("own").alias("own"),
+                             F.array(*[F.sum(F.col("sums")[i]) for i in range(total)]).alias("sums"))
 
     def score(batches):
-        cc, ss, off = bc2.value
+        _, ss = bc.value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = _matrix(pdf[vec])
-            sums = _matrix(pdf["sums"])
-            out_k, out_s = [], []
+            own, sums = np.vstack(pdf["own"]), _matrix(pdf["sums"])
+            rows = np.arange(len(pdf))
+            out_s = []
             for i, k in enumerate(ks):
-                lab = _labels(x, cc[k])
-                blk = sums[:, off[i]:off[i + 1]]
+                lab = own[:, i] - offsets[i]
+                blk = sums[:, offsets[i]:offsets[i + 1]]
                 n_own = ss[k][lab]
-                a = np.where(n_own > 1, blk[np.arange(len(lab)), lab] / np.maximum(n_own - 1, 1), 0.0)
+                a = np.where(n_own > 1, blk[rows, lab] / np.maximum(n_own - 1, 1), 0.0)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     mean_other = blk / ss[k][None, :]
-                mean_other[np.arange(len(lab)), lab] = np.inf
+                mean_other[rows, lab] = np.inf
                 mean_other[:, ss[k] == 0] = np.inf
                 b = mean_other.min(axis=1)
                 den = np.maximum(a, b)
                 s = np.where((n_own <= 1) | ~np.isfinite(b) | (den == 0), 0.0,
                              (b - a) / np.where(den == 0, 1, den))
-                out_k.append(k)
                 out_s.append(float(s.sum()))
-            yield pd.DataFrame({"k": np.array(out_k, dtype=np.int64), "s": out_s, "n": len(pdf)})
+            yield pd.DataFrame({"k": np.array(ks, dtype=np.int64), "s": out_s, "n": len(pdf)})
 
-    res = rows.mapInPandas(score, "k long, s double, n long").groupBy("k").agg(
+    res = allp.select("own", "sums").mapInPandas(score, "k long, s double, n long").groupBy("k").agg(
         (F.sum("s") / F.sum("n")).alias("sil")).collect()
+    bc.unpersist()
     return {int(r["k"]): float(r["sil"]) for r in res}

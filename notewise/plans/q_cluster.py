@@ -231,7 +231,7 @@ def elbow_q(spark, sf_dir):
     """(k, wcss) from the Lloyd sweep."""
     pts = sim_points(spark, sf_dir).persist()
     centres = lloyd_many(pts, "sims", {k: first_k_centres(pts, "query_id", "sims", k) for k in KS}, LLOYD_ROUNDS)
-    rows = [(m["k"], m["wcss"]) for m in measures_many(pts, "query_id", "sims", centres)]
+    rows = [(m["k"], m["wcss"]) for m in measures_many(pts, "query_id", "sims", centres, with_silhouette=False)]
     df = spark.createDataFrame(rows, "k bigint, wcss double")
     return elbow(df).select("k", r4("wcss").alias("wcss"))
 

@@ -32,9 +32,8 @@ def test_silhouette_exact_with_singleton(spark):
     got = {r.id: r.silhouette for r in silhouette_samples(_points(spark, x, lab), "id", "v").collect()}
     want = _np_silhouette(x, lab)
     assert max(abs(got[i] - want[i]) for i in range(40)) < 1e-10
-    # chunked reference points give the same answer
-    got2 = {r.id: r.silhouette for r in silhouette_samples(_points(spark, x, lab), "id", "v",
-                                                           max_chunk_bytes=200).collect()}
+    # points dealt to 40 blocks give the same answer
+    got2 = {r.id: r.silhouette for r in silhouette_samples(_points(spark, x, lab), "id", "v", block_rows=1).collect()}
     assert max(abs(got2[i] - want[i]) for i in range(40)) < 1e-10
 
 
