@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notewise.operators.pairwise import distance_sums, map_block_pairs
+from notewise.operators.pairwise import distance_sums, map_block_pairs, nearest, squared_distances
+
+#: Rounds after which K-means stops though it still moves (the usual default).
+MAX_ROUNDS = 300
 
 
 def _matrix(series) -> np.ndarray:
@@ -54,11 +57,8 @@ def assign(df: DataFrame, id_col: str, vec: str, centres: np.ndarray,
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = _matrix(pdf[vec])
-            d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-            lab = np.argmin(d2, axis=1)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), out: lab.astype(np.int64),
-                                "dist2": d2[np.arange(len(lab)), lab]})
+            lab, d2 = nearest(_matrix(pdf[vec]), c)
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), out: lab.astype(np.int64), "dist2": d2})
 
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField(out, T.LongType()),
                            T.StructField("dist2", T.DoubleType())])
@@ -72,57 +72,16 @@ def centres_of(df: DataFrame, vec: str, cluster: str, d: int) -> DataFrame:
         F.array(*[F.avg(F.col(vec)[i]) for i in range(d)]).alias("centre"))
 
 
-def lloyd_sums(df: DataFrame, vec: str, centres: np.ndarray) -> DataFrame:
-    """One Lloyd round, map side: assign each row and pre-sum per cluster.
-
-    Every Arrow batch emits at most k rows (cluster, n, sum vector), so the
-    shuffle that follows carries k rows per batch -- the same map-side
-    combine MLlib's K-means uses.
-    """
-    bc = df.sparkSession.sparkContext.broadcast(np.asarray(centres, dtype=np.float64))
-
-    def kernel(batches):
-        c = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _matrix(pdf[vec])
-            lab = np.argmin(((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), axis=1)
-            present = np.unique(lab)
-            yield pd.DataFrame({
-                "cluster": present.astype(np.int64),
-                "n": np.array([(lab == j).sum() for j in present], dtype=np.int64),
-                "s": [x[lab == j].sum(axis=0) for j in present]})
-
-    schema = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("n", T.LongType()),
-                           T.StructField("s", T.ArrayType(T.DoubleType()))])
-    d = centres.shape[1]
-    return df.select(vec).mapInPandas(kernel, schema).groupBy("cluster").agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"))
-
-
-def lloyd(df: DataFrame, id_col: str, vec: str, init_centres, iterations: int = 10,
-          tol: float = 0.0):
-    """Deterministic Lloyd from given centres for a fixed number of rounds.
+def lloyd(df: DataFrame, id_col: str, vec: str, init_centres, iterations: int = MAX_ROUNDS, tol: float = 1e-12):
+    """Deterministic Lloyd from given centres, until no centre moves by more than ``tol``.
 
     Each round is one job: assignment and per-cluster sums on the executors,
     k x d sums to the driver.  An empty cluster keeps its previous centre.
-    Stops early only when ``tol`` > 0 and no centre moved more than ``tol``.
     Returns (assignments DataFrame(id, cluster, dist2), centres ndarray k x d).
     """
-    centres = np.asarray(init_centres, dtype=np.float64)
-    k, d = centres.shape
     data = df.select(id_col, vec).persist()
-    for _ in range(iterations):
-        new = centres.copy()
-        for r in lloyd_sums(data, vec, centres).collect():
-            new[int(r["cluster"])] = np.asarray(r["s"], dtype=np.float64) / r["n"]
-        moved = float(np.max(np.abs(new - centres))) if k else 0.0
-        centres = new
-        if tol > 0 and moved <= tol:
-            break
-    out = assign(data, id_col, vec, centres)
-    return out, centres
+    centres = lloyd_many(data, vec, {0: init_centres}, iterations, tol)[0]
+    return assign(data, id_col, vec, centres), centres
 
 
 def first_k_centres(df: DataFrame, id_col: str, vec: str, k: int) -> np.ndarray:
@@ -138,45 +97,129 @@ def vectors_for_ml(df: DataFrame, vec: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.transform(vec, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))))
 
 
-def kmeans_fits(data: DataFrame, ks, seed: int = 42, restarts: int = 1, max_iter: int = 300,
-                tol: float = 1e-4, parallel: int = 8) -> dict:
-    """D1/D3 for several k: MLlib K-means (k-means|| init) for every (k, seed).
+def _uniform(h: np.ndarray, *key: int) -> np.ndarray:
+    """Numbers in [0, 1) of row hashes for a key: the same wherever and however often a row is read."""
+    x = h.astype(np.uint64)
+    for k in (*key, 1):
+        x = x + np.uint64((k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)) * 2.0**-53
+
+
+def _per_run(data: DataFrame, vec: str, sets: dict, found, schema: str) -> DataFrame:
+    """Rows of ``found(run, x, h, nearest candidate, squared distance)`` for every run, all in one pass.
 
-    MLlib has no ``n_init``; the restarts are independent fits on the same
-    cached vectors, submitted from a small thread pool so their (small) jobs
-    share the cluster.  Returns {k: best model by training cost}.
+    ``sets`` holds the candidates of each run (a few k rows); they travel as one broadcast.
     """
-    from concurrent.futures import ThreadPoolExecutor
+    bc = data.sparkSession.sparkContext.broadcast({run: np.asarray(c, dtype=np.float64) for run, c in sets.items()})
 
-    from pyspark.ml.clustering import KMeans
+    def kernel(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x, h = _matrix(pdf[vec]), pdf["h"].to_numpy()
+            for run, c in bc.value.items():
+                best, d2 = (np.zeros(len(x), np.int64), np.zeros(len(x))) if not len(c) else nearest(x, c)
+                out = found(run, x, h, best, d2)
+                if out is not None and len(out):
+                    yield out
+
+    return data.mapInPandas(kernel, schema)
+
+
+def seed_many(data: DataFrame, vec: str, runs: dict, seed: int = 42, steps: int = 2) -> dict:
+    """k-means|| (Bahmani et al. 2012) for many runs in the same passes: {run: k} -> {run: initial centres}.
 
-    def fit(task):
-        k, r = task
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=tol, featuresCol="features",
-                       predictionCol="cluster").fit(data)
-        return k, model.summary.trainingCost, r, model
+    ``data`` has (vec, h), h a hash of the id.  Every run starts from one row; in each of ``steps`` rounds a pass
+    sums the squared distances to its candidates and a pass samples about 2k more in proportion to them.
+    The candidates, weighted by the rows nearest to them, are reduced to k by weighted k-means++ on the driver, which
+    sees about (2 steps + 1) k rows a run, whatever the number of rows.
+    """
+    keys = list(runs)
+    d = None
+
+    def lowest(run, x, h, best, d2):
+        u = _uniform(h, seed, run)
+        i = int(np.argmin(u))
+        return pd.DataFrame({"run": [run], "u": [u[i]], "v": [x[i]]})
+
+    first = _per_run(data, vec, {i: np.zeros((0, 0)) for i in range(len(keys))}, lowest, "run int, u double, v array<double>")
+    found = {int(r["run"]): np.asarray(r["v"])[None, :] for r in
+             first.groupBy("run").agg(F.min_by("v", "u").alias("v")).collect()}
+    for step in range(steps):
+        cost = {int(r["run"]): r["c"] for r in _per_run(
+            data, vec, found, lambda run, x, h, best, d2: pd.DataFrame({"run": [run], "c": [float(d2.sum())]}),
+            "run int, c double").groupBy("run").agg(F.sum("c").alias("c")).collect()}
+        scale = {run: 2.0 * runs[keys[run]] / c for run, c in cost.items() if c > 0}
+        if not scale:
+            break
 
-    tasks = [(k, r) for k in ks for r in range(restarts)]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(tasks)))) as pool:
-        results = list(pool.map(fit, tasks))
-    best: dict = {}
-    for k, cost, r, model in results:
-        if k not in best or (cost, r) < (best[k][0], best[k][1]):
-            best[k] = (cost, r, model)
-    return {k: v[2] for k, v in best.items()}
+        def sample(run, x, h, best, d2, scale=scale, step=step):
+            take = _uniform(h, seed, run, step + 1) < d2 * scale.get(run, 0.0)
+            return pd.DataFrame({"run": np.full(int(take.sum()), run, np.int32), "v": list(x[take])})
+
+        more: dict = {}
+        for r in _per_run(data, vec, {run: found[run] for run in scale}, sample, "run int, v array<double>").collect():
+            more.setdefault(int(r["run"]), []).append(tuple(r["v"]))
+        for run, rows in more.items():  # in a fixed order, whatever the partitions
+            found[run] = np.vstack([found[run], np.unique(np.array(rows), axis=0)])
+
+    def weigh(run, x, h, best, d2):
+        at, n = np.unique(best, return_counts=True)
+        return pd.DataFrame({"run": np.full(len(at), run, np.int32), "at": at.astype(np.int64), "n": n.astype(np.int64)})
+
+    weights = {run: np.zeros(len(c)) for run, c in found.items()}
+    for r in _per_run(data, vec, found, weigh, "run int, at long, n long").groupBy("run", "at").agg(F.sum("n").alias("n")) \
+            .collect():
+        weights[int(r["run"])][int(r["at"])] = r["n"]
+    return {keys[run]: _plus_plus(c, weights[run], runs[keys[run]], np.random.default_rng([seed, run]))
+            for run, c in found.items()}
+
+
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, rng) -> np.ndarray:
+    """Weighted k-means++ over a few candidates; with fewer than k different ones, all of them."""
+    chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+    d2 = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k and (weights * d2).sum() > 0:
+        p = weights * d2
+        chosen.append(int(rng.choice(len(points), p=p / p.sum())))
+        d2 = np.minimum(d2, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen].copy()
+
+
+def kmeans_many(df: DataFrame, id_col: str, vec: str, ks, seed: int = 42, restarts: int = 20,
+                max_iter: int = MAX_ROUNDS, tol: float = 1e-4) -> dict:
+    """D1/D3 for several k: best of ``restarts`` converged K-means each, {k: (centres, inertia)}.
+
+    All (k, restart) runs are seeded and moved in the same passes over the cached rows; a run that has converged
+    (centres moved by less than ``tol`` times the mean variance in total squares) leaves the passes.
+    """
+    data = df.select(vec, F.xxhash64(id_col).alias("h")).filter(F.col(vec).isNotNull()).persist()
+    stats = data.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    if not stats[0]:
+        data.unpersist()
+        return {}
+    spread = data.agg(*[F.var_pop(F.col(vec)[i]) for i in range(int(stats[1]))]).first()
+    runs = {(int(k), r): int(k) for k in ks for r in range(restarts)}
+    centres = lloyd_many(data, vec, seed_many(data, vec, runs, seed), max_iter, tol * float(np.mean(spread)), total=True)
+    cost = {run: 0.0 for run in runs}
+    for r in _sums_many(data, vec, centres):
+        cost[r["key"]] += r["w"]
+    data.unpersist()
+    best = {k: min((cost[run], run) for run in runs if run[0] == k)[1] for k in {run[0] for run in runs}}
+    return {k: (centres[run], cost[run]) for k, run in sorted(best.items())}
 
 
 def kmeans(df: DataFrame, id_col: str, vec: str, k: int = 6, seed: int = 42,
-           restarts: int = 1, max_iter: int = 300, tol: float = 1e-4):
-    """MLlib K-means, best of ``restarts`` seeds by cost.
+           restarts: int = 20, max_iter: int = MAX_ROUNDS, tol: float = 1e-4):
+    """K-means, best of ``restarts`` starts by cost.
 
     Returns (assignments(id, cluster), centres ndarray, inertia).
     """
-    data = vectors_for_ml(df.select(id_col, vec), vec).persist()
-    model = kmeans_fits(data, [k], seed, restarts, max_iter, tol)[k]
-    labels = model.transform(data).select(id_col, F.col("cluster").cast("long").alias("cluster"))
-    centres = np.vstack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-    return labels, centres, float(model.summary.trainingCost)
+    centres, inertia = kmeans_many(df, id_col, vec, [k], seed, restarts, max_iter, tol)[k]
+    return assign(df, id_col, vec, centres).select(id_col, "cluster"), centres, inertia
 
 
 # ---------------------------------------------------------------------------
@@ -413,8 +456,7 @@ def representatives(df: DataFrame, id_col: str, vec: str, centres: np.ndarray) -
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = _matrix(pdf[vec])
-            d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+            d2 = squared_distances(_matrix(pdf[vec]), c)
             ids = pdf[id_col].to_numpy()
             rows = []
             for j in range(c.shape[0]):
@@ -450,58 +492,66 @@ def project_2d(df: DataFrame, id_col: str, vec: str, k: int = 2) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _labels(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin(((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), axis=1)
+    return nearest(x, c)[0]
 
 
-def _sums_many(df: DataFrame, vec: str, centres_by_k: dict, centroids_by_k: dict | None = None) -> list:
-    """One pass: per (k, cluster) count and vector sum; with centroids also
-    the sums of squared and plain distances to the own centroid."""
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(({k: np.asarray(c, dtype=np.float64) for k, c in centres_by_k.items()}, centroids_by_k))
-    d = next(iter(centres_by_k.values())).shape[1]
+def _sums_many(df: DataFrame, vec: str, centres: dict, centroids: dict | None = None) -> list[dict]:
+    """One pass: per (key, cluster) count, vector sum and cost (sum of squared distances to the centre).
+
+    With ``centroids`` the cost is to the own centroid, and ``dsum`` sums the plain distances to it.
+    """
+    keys = list(centres)
+    bc = df.sparkSession.sparkContext.broadcast(
+        [(np.asarray(centres[k], dtype=np.float64), None if centroids is None else centroids[k]) for k in keys])
 
     def kernel(batches):
-        cents, cids = bc.value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             x = _matrix(pdf[vec])
-            out_k, out_c, out_n, out_s, out_w, out_d = [], [], [], [], [], []
-            for k, c in cents.items():
-                lab = _labels(x, c)
-                for j in np.unique(lab):
-                    m = x[lab == j]
-                    out_k.append(k)
-                    out_c.append(int(j))
-                    out_n.append(len(m))
-                    out_s.append(m.sum(axis=0))
-                    if cids is not None:
-                        d2 = ((m - cids[k][int(j)]) ** 2).sum(axis=1)
-                        out_w.append(float(d2.sum()))
-                        out_d.append(float(np.sqrt(d2).sum()))
-                    else:
-                        out_w.append(0.0)
-                        out_d.append(0.0)
-            yield pd.DataFrame({"k": np.array(out_k, dtype=np.int64), "cluster": np.array(out_c, dtype=np.int64),
-                                "n": np.array(out_n, dtype=np.int64), "s": out_s, "w": out_w, "dsum": out_d})
-
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("cluster", T.LongType()),
-                           T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
-                           T.StructField("w", T.DoubleType()), T.StructField("dsum", T.DoubleType())])
-    agg = df.select(vec).mapInPandas(kernel, schema).groupBy("k", "cluster").agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"),
-        F.sum("w").alias("w"), F.sum("dsum").alias("dsum"))
-    return agg.collect()
-
-
-def lloyd_many(df: DataFrame, vec: str, inits: dict, iterations: int = 10) -> dict:
-    """D1b for several k together: one job per round for all of them."""
+            out = {c: [] for c in ("run", "cluster", "n", "s", "w", "dsum")}
+            for run, (c, own) in enumerate(bc.value):
+                lab, d2 = nearest(x, c)
+                if own is not None:
+                    d2 = ((x - own[lab]) ** 2).sum(axis=1)
+                member = np.zeros((len(x), len(c)))
+                member[np.arange(len(x)), lab] = 1.0
+                n, sums = member.sum(0), member.T @ x
+                w, dist = d2 @ member, np.sqrt(d2) @ member
+                for j in np.flatnonzero(n):
+                    for name, v in zip(out, (run, int(j), int(n[j]), sums[j], w[j], dist[j]), strict=True):
+                        out[name].append(v)
+            yield pd.DataFrame(out)
+
+    d = next(iter(centres.values())).shape[1]
+    rows = df.select(vec).mapInPandas(kernel, "run long, cluster long, n long, s array<double>, w double, dsum double") \
+        .groupBy("run", "cluster").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"),
+                                       F.sum("w").alias("w"), F.sum("dsum").alias("dsum")).collect()
+    bc.unpersist()
+    return [{"key": keys[int(r["run"])], **r.asDict()} for r in rows]
+
+
+def lloyd_many(df: DataFrame, vec: str, inits: dict, iterations: int = MAX_ROUNDS, tol: float = 1e-12,
+               total: bool = False) -> dict:
+    """D1b for several runs together: one job per round for all that still move.
+
+    A run ends when no centre moved by more than ``tol`` (``total``: when the squared moves of its centres sum to
+    ``tol`` at most), or after ``iterations`` rounds.  An empty cluster keeps its centre.
+    """
     centres = {k: np.asarray(c, dtype=np.float64).copy() for k, c in inits.items()}
+    moving = set(centres)
     data = df.select(vec).persist()
     for _ in range(iterations):
-        rows = _sums_many(data, vec, centres)
-        for r in rows:
-            centres[int(r["k"])][int(r["cluster"])] = np.asarray(r["s"], dtype=np.float64) / r["n"]
+        if not moving:
+            break
+        new = {k: centres[k].copy() for k in moving}
+        for r in _sums_many(data, vec, {k: centres[k] for k in centres if k in moving}):
+            new[r["key"]][int(r["cluster"])] = np.asarray(r["s"], dtype=np.float64) / r["n"]
+        for k, c in new.items():
+            step = np.sqrt(((c - centres[k]) ** 2).sum(axis=1))
+            centres[k] = c
+            if ((step**2).sum() if total else step.max(initial=0.0)) <= tol:
+                moving.discard(k)
     data.unpersist()
     return centres
 
@@ -542,14 +592,14 @@ def measures_many(df: DataFrame, id_col: str, vec: str, centres_by_k: dict,
     centroids = {k: np.zeros((centres_by_k[k].shape[0], d)) for k in ks}
     sizes = {k: np.zeros(centres_by_k[k].shape[0]) for k in ks}
     for r in first:
-        k, j = int(r["k"]), int(r["cluster"])
+        k, j = r["key"], int(r["cluster"])
         sizes[k][j] = r["n"]
         centroids[k][j] = np.asarray(r["s"], dtype=np.float64) / r["n"]
     second = _sums_many(data, vec, centres_by_k, centroids)
     w = {k: np.zeros(centres_by_k[k].shape[0]) for k in ks}
     ssum = {k: np.zeros(centres_by_k[k].shape[0]) for k in ks}
     for r in second:
-        k, j = int(r["k"]), int(r["cluster"])
+        k, j = r["key"], int(r["cluster"])
         w[k][j] = r["w"]
         ssum[k][j] = r["dsum"]
     sil = _silhouette_many(data, id_col, vec, centres_by_k, sizes, block_rows) if with_silhouette else {}

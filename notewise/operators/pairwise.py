@@ -58,6 +58,23 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return d2
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest row of ``c`` for each row of ``x`` (ties to the smaller index) and the squared distance to it."""
+    d2 = squared_distances(x, c)
+    best = d2.argmin(axis=1)
+    if len(c) > 1 and len(x):
+        # the Gram form can turn an exact tie over: settle near ties by the differences
+        limit = d2[np.arange(len(x)), best] + 1e-9 * ((x * x).sum(1) + (c * c).sum(1).max())
+        close = np.flatnonzero((d2 <= limit[:, None]).sum(1) > 1)
+        step = max(1, SLICE_BYTES // (8 * max(1, c.size)))
+        for a in range(0, len(close), step):
+            rows = close[a:a + step]
+            exact = ((x[rows][:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+            d2[rows] = exact
+            best[rows] = exact.argmin(axis=1)
+    return best, d2[np.arange(len(x)), best]
+
+
 def row_slices(n: int, width: int):
     """Slices of ``n`` rows whose distances to ``width`` rows fit in SLICE_BYTES."""
     step = max(1, SLICE_BYTES // (8 * max(1, width)))

@@ -118,3 +118,46 @@ def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(301), 900, 901, 950]], "id long")
     got = {r["id"]: r["component"] for r in connected_components(edges, nodes).collect()}
     assert got == {**{i: 0 for i in range(301)}, 900: 900, 901: 900, 950: 950}
+
+
+def test_kmeans_many_finds_the_best_of_converged_restarts(spark):
+    from notewise.operators.clustering import kmeans_many
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(scale=6, size=(5, 3))
+    x = np.vstack([c + rng.normal(size=(60, 3)) for c in centres])
+    df = _points(spark, x).repartition(5)
+    got = kmeans_many(df, "id", "v", [2, 5, 7], seed=1, restarts=8, tol=0.0)
+    assert sorted(got) == [2, 5, 7]
+    for k, (c, inertia) in got.items():
+        d2 = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        lab = d2.argmin(axis=1)
+        assert inertia == pytest.approx(d2.min(axis=1).sum())
+        assert np.allclose(c, [x[lab == j].mean(axis=0) for j in range(k)], atol=1e-9)  # a fixed point
+    planted = sum(((x[60 * j:60 * j + 60] - x[60 * j:60 * j + 60].mean(axis=0)) ** 2).sum() for j in range(5))
+    assert got[5][1] <= planted * (1 + 1e-9)
+    # the same seeds give the same result from other partitions
+    again = kmeans_many(_points(spark, x).repartition(2), "id", "v", [5], seed=1, restarts=8, tol=0.0)
+    assert again[5][1] == pytest.approx(kmeans_many(df, "id", "v", [5], seed=1, restarts=8, tol=0.0)[5][1])
+
+
+def test_kmeans_many_edge_cases(spark):
+    from notewise.operators.clustering import kmeans_many
+
+    same = _points(spark, np.ones((30, 2)))
+    c, inertia = kmeans_many(same, "id", "v", [3], restarts=2)[3]
+    assert inertia == 0 and (c == 1).all()  # fewer different rows than k: fewer centres
+    assert kmeans_many(same.limit(0), "id", "v", [3], restarts=2) == {}
+
+
+def test_nearest_breaks_ties_by_the_smaller_index():
+    from notewise.operators.pairwise import nearest
+
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(9, 20))
+    c[5] = c[2]
+    c[8] = -c[0]
+    x = np.vstack([rng.normal(size=(200, 20)), c, np.zeros((1, 20))])
+    d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+    best, dist = nearest(x, c)
+    assert (best == d2.argmin(axis=1)).all() and np.allclose(dist, d2.min(axis=1), rtol=1e-9, atol=1e-15)
