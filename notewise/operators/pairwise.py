@@ -107,6 +107,28 @@ def block_count(n: int, row_bytes: int, parallelism: int, block_rows: int | None
     return max(1, by_bytes, min(math.ceil(n / LEAST_ROWS), math.ceil(math.sqrt(2 * parallelism))))
 
 
+def _pack_blocks(df: DataFrame, id_col: str, vec: str, extra: tuple[str, ...], blocks: int) -> DataFrame:
+    """(block, id, mat, x_...): one row per block, dealt by a hash of the id."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"),
+                     *[F.col(c).alias(f"x_{c}") for c in extra])
+    schema = T.StructType(
+        [T.StructField("block", T.IntegerType()), T.StructField("mat", T.BinaryType())]
+        + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema if f.name != "vec"])
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")) \
+        .groupBy("block").applyInArrow(_pack, schema)
+
+
+def _unpack(table: pa.Table, i: int, extra: tuple[str, ...]) -> Block:
+    value = lambda c: table.column(c).combine_chunks()[i].values
+    mat = np.frombuffer(table.column("mat")[i].as_py(), np.float64).reshape(len(value("id")), -1)
+    return Block(value("id"), mat, {c: value(f"x_{c}") for c in extra})
+
+
+def _size(df: DataFrame, vec: str) -> tuple[int, int]:
+    n, d = df.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    return n, d or 1
+
+
 def map_block_pairs(df: DataFrame, id_col: str, vec: str, kernel: Callable, schema: T.StructType | str,
                     extra: tuple[str, ...] = (), row_bytes: int | None = None,
                     block_rows: int | None = None) -> DataFrame:
@@ -115,25 +137,13 @@ def map_block_pairs(df: DataFrame, id_col: str, vec: str, kernel: Callable, sche
     ``same`` marks a block met with itself.  Rows without a vector take no part; all vectors have one length.
     ``row_bytes`` is what a row costs in the task beside its id (default: its vector).
     """
-    spark = df.sparkSession
-    rows = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"),
-                                                    *[F.col(c).alias(f"x_{c}") for c in extra])
-    n, d = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    blocks = block_count(n, row_bytes or 8 * (d or 1) + 16, spark.sparkContext.defaultParallelism, block_rows)
-    packed_schema = T.StructType(
-        [T.StructField("block", T.IntegerType()), T.StructField("mat", T.BinaryType())]
-        + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema if f.name != "vec"])
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")) \
-        .groupBy("block").applyInArrow(_pack, packed_schema)
+    rows = df.filter(F.col(vec).isNotNull())
+    n, d = _size(rows, vec)
+    blocks = block_count(n, row_bytes or 8 * d + 16, df.sparkSession.sparkContext.defaultParallelism, block_rows)
     # a block goes to each of its pairs; block numbers, not rows, are multiplied
-    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
+    met = _pack_blocks(rows, id_col, vec, extra, blocks) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
-
-    def unpack(table: pa.Table, i: int) -> Block:
-        value = lambda c: table.column(c).combine_chunks()[i].values
-        mat = np.frombuffer(table.column("mat")[i].as_py(), np.float64).reshape(len(value("id")), -1)
-        return Block(value("id"), mat, {c: value(f"x_{c}") for c in extra})
-
     arrow = to_arrow_schema(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
 
     def run(table: pa.Table) -> pa.Table:
@@ -141,14 +151,37 @@ def map_block_pairs(df: DataFrame, id_col: str, vec: str, kernel: Callable, sche
         at = {b: i for i, b in enumerate(table.column("block").to_pylist())}
         if low not in at or high not in at:  # no row fell into the other block
             return arrow.empty_table()
-        a = unpack(table, at[low])
-        b = a if low == high else unpack(table, at[high])
+        a = _unpack(table, at[low], extra)
+        b = a if low == high else _unpack(table, at[high], extra)
         return pa.concat_tables([arrow.empty_table(), *(t.select(arrow.names) for t in kernel(a, b, low == high))],
                                 promote_options="permissive")
 
     return met.groupBy("low", "high").applyInArrow(run, schema)
 
 
+def map_block_grid(left: DataFrame, left_id: str, left_vec: str, right: DataFrame, right_id: str, right_vec: str,
+                   kernel: Callable, schema: T.StructType | str, block_rows: int | None = None) -> DataFrame:
+    """Apply ``kernel(a: Block, b: Block) -> iterable of Arrow tables`` to every (left block, right block)."""
+    left, right = left.filter(F.col(left_vec).isNotNull()), right.filter(F.col(right_vec).isNotNull())
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    (n, d), (m, e) = _size(left, left_vec), _size(right, right_vec)
+    rows, cols = (block_count(x, 8 * y + 16, cores, block_rows) for x, y in ((n, d), (m, e)))
+    a = _pack_blocks(left, left_id, left_vec, (), rows).withColumnRenamed("block", "row") \
+        .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    b = _pack_blocks(right, right_id, right_vec, (), cols).withColumnRenamed("block", "col") \
+        .withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    arrow = to_arrow_schema(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return arrow.empty_table()
+        found = kernel(_unpack(x, 0, ()), _unpack(y, 0, ()))
+        return pa.concat_tables([arrow.empty_table(), *(t.select(arrow.names) for t in found)],
+                                promote_options="permissive")
+
+    return a.groupBy("row", "col").cogroup(b.groupBy("row", "col")).applyInArrow(run, schema)
+
+
 def distance_sums(a: Block, b: Block, same: bool, member_a: np.ndarray, member_b: np.ndarray):
     """Per row of each block, its distances to the other block summed by the columns of the membership matrices."""
     to_a = np.zeros((len(a), member_b.shape[1]))

@@ -1,31 +1,33 @@
 """Embedding and similarity search.
 
-The theme corpus is small in the original workload (20 sentences) and is
-shipped to every executor once; notes stream past it partition by partition,
-so the search is a map-only stage with no shuffle.  The size of what is
-broadcast is always measured first: a corpus above the bound is cut into
-bounded chunks, each chunk is one broadcast pass, and the per-chunk top-k
-lists are merged by one aggregation keyed on the note (at most
-k x chunks entries per note).
-
-Scores are computed per Arrow batch of notes: one NumPy matrix product of
-the batch with the (unit-normalised) corpus matrix, shipped once per
-executor as a broadcast variable (``mapInPandas``).  The JVM expression form
-of the same cosine (``functions.vectors.cosine``) serves row-wise use.
+A theme corpus within a byte bound (measured first) is shipped to every executor
+once; notes stream past it partition by partition, one NumPy matrix product per
+Arrow batch, so the search is a map-only stage with no shuffle.  A larger corpus
+is never brought to the driver: blocks of notes meet blocks of corpus rows in a
+shuffle (:func:`notewise.operators.pairwise.map_block_grid`), and a note's best rows
+of all blocks are merged by a ranked limit that also runs before its shuffle.
+
+Scores that agree to ``TIE_DIGITS`` decimals are ties, which go to the smaller
+corpus id: sums in another order do not change ranks.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewise.functions.vectors import as_doubles, r4
+from notewise.operators.pairwise import map_block_grid, row_slices
 
+#: Decimals to which scores are compared and reported before any further rounding.
+TIE_DIGITS = 12
 # Default bound on the bytes of corpus vectors shipped to each executor.
 MAX_BROADCAST_BYTES = 256 << 20
 
@@ -54,31 +56,40 @@ def _unit_rows(mat: np.ndarray) -> np.ndarray:
     return np.divide(mat, n, out=np.zeros_like(mat), where=n > 0)
 
 
-def corpus_plan(corpus: DataFrame, corpus_vec: str, max_bytes: int = MAX_BROADCAST_BYTES):
-    """(rows, dims, chunks): how many broadcast passes the corpus needs."""
-    stats = corpus.select(F.count(F.lit(1)).alias("n"), F.max(F.size(corpus_vec)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    per_row = max(d, 1) * 8 + 16
-    chunks = max(1, math.ceil(n * per_row / max_bytes))
-    return n, d, chunks
+def fits_broadcast(corpus: DataFrame, corpus_vec: str, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether rows x dims of the corpus are within the bound."""
+    n, d = corpus.select(F.count(F.lit(1)), F.max(F.size(corpus_vec))).first()
+    return n * (max(d or 0, 1) * 8 + 16) <= max_bytes
 
 
 def similarity_vectors(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec: str,
                        corpus_id: str = "item_id", corpus_vec: str = "embedding",
-                       out: str = "sims", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                       out: str = "sims", max_bytes: int = MAX_BROADCAST_BYTES,
+                       block_rows: int | None = None) -> DataFrame:
     """(query_id, out array<double>) -- cosine with every corpus row, by corpus id.
 
-    The output row itself holds one score per corpus row, so the corpus must
-    fit the broadcast bound; a larger corpus raises instead of degrading.
+    A row holds one score per corpus row.  With a corpus above the bound the pieces of a row come from the
+    blocks of the corpus and are put in the order of the ids by one aggregation; query ids are unique then.
     """
-    n, d, chunks = corpus_plan(corpus, corpus_vec, max_bytes)
-    if chunks > 1:
-        raise ValueError(f"corpus of {n} x {d} exceeds the broadcast bound; "
-                         "use top_k for large corpora")
-    ids, mat = _corpus_matrix(corpus, corpus_id, corpus_vec)
-    sc = queries.sparkSession.sparkContext
-    bc = sc.broadcast(_unit_rows(mat))
     qtype = queries.schema[query_id].dataType
+    schema = T.StructType([T.StructField(query_id, qtype), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    if not fits_broadcast(corpus, corpus_vec, max_bytes):
+        piece = T.StructType([T.StructField(query_id, qtype), T.StructField("ids", T.ArrayType(T.LongType())),
+                              T.StructField("s", T.ArrayType(T.DoubleType()))])
+
+        def grid(a, b):
+            scores = np.round(_unit_rows(a.x) @ _unit_rows(b.x).T, TIE_DIGITS)
+            width = pa.array(np.arange(len(a) + 1) * len(b), pa.int32())
+            yield pa.table({query_id: a.ids, "ids": pa.ListArray.from_arrays(width, pa.array(np.tile(b.ids.to_numpy(), len(a)))),
+                            "s": pa.ListArray.from_arrays(width, pa.array(scores.ravel()))})
+
+        keyed = corpus.select(F.col(corpus_id).cast("long").alias("id"), corpus_vec)
+        parts = map_block_grid(queries, query_id, query_vec, keyed, "id", corpus_vec, grid, piece, block_rows)
+        rows = parts.select(query_id, F.arrays_zip("ids", "s").alias("z")).groupBy(query_id) \
+            .agg(F.array_sort(F.flatten(F.collect_list("z"))).alias("z"))
+        return rows.select(query_id, F.transform("z", lambda z: z["s"]).alias(out))
+    _, mat = _corpus_matrix(corpus, corpus_id, corpus_vec)
+    bc = queries.sparkSession.sparkContext.broadcast(_unit_rows(mat))
 
     def kernel(batches):
         cm = bc.value
@@ -86,15 +97,43 @@ def similarity_vectors(queries: DataFrame, corpus: DataFrame, query_id: str, que
             if len(pdf) == 0:
                 continue
             q = _unit_rows(np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]]))
-            s = q @ cm.T
-            yield pd.DataFrame({query_id: pdf[query_id].to_numpy(), out: list(s)})
+            yield pd.DataFrame({query_id: pdf[query_id].to_numpy(), out: list(np.round(q @ cm.T, TIE_DIGITS))})
 
-    schema = T.StructType([T.StructField(query_id, qtype), T.StructField(out, T.ArrayType(T.DoubleType()))])
     return queries.select(query_id, query_vec).mapInPandas(kernel, schema)
 
 
-def _topk_arrow(queries, query_id, query_vec, ids, mat, k, sc, qtype):
-    bc = sc.broadcast((ids, _unit_rows(mat)))
+def _best(scores: np.ndarray, ids: np.ndarray, k: int):
+    """Per row the k best columns, ties to the smaller id: (columns, scores).  ``ids`` ascend."""
+    s = np.round(scores, TIE_DIGITS)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :min(k, len(ids))]
+    return order, np.take_along_axis(s, order, axis=1)
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec: str,
+          corpus_id: str = "item_id", corpus_vec: str = "embedding", k: int = 5,
+          max_bytes: int = MAX_BROADCAST_BYTES, block_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, corpus_id, score), k = min(k, corpus size); ties go to the smaller corpus id.
+
+    Above the bound query ids are unique; rows without a vector have no hits.
+    """
+    qtype = queries.schema[query_id].dataType
+    schema = T.StructType([T.StructField(query_id, qtype), T.StructField("rank", T.LongType()),
+                           T.StructField("corpus_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    if not fits_broadcast(corpus, corpus_vec, max_bytes):
+        def grid(a, b):
+            order = np.argsort(b.ids.to_numpy(), kind="stable")
+            ids, y = b.ids.to_numpy()[order], _unit_rows(b.x[order])
+            for part in row_slices(len(a), len(b)):
+                at, s = _best(_unit_rows(a.x[part]) @ y.T, ids, k)
+                yield pa.table({query_id: a.ids.take(pa.array(np.repeat(np.arange(part.start, part.stop), at.shape[1]))),
+                                "rank": np.zeros(at.size, np.int64), "corpus_id": ids[at].ravel(), "score": s.ravel()})
+
+        keyed = corpus.select(F.col(corpus_id).cast("long").alias("id"), corpus_vec)
+        found = map_block_grid(queries, query_id, query_vec, keyed, "id", corpus_vec, grid, schema, block_rows)
+        best = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc("corpus_id"))
+        return found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+    ids, mat = _corpus_matrix(corpus, corpus_id, corpus_vec)
+    bc = queries.sparkSession.sparkContext.broadcast((ids, _unit_rows(mat)))
 
     def kernel(batches):
         cid, cm = bc.value
@@ -103,11 +142,7 @@ def _topk_arrow(queries, query_id, query_vec, ids, mat, k, sc, qtype):
             if len(pdf) == 0 or kk == 0:
                 continue
             q = _unit_rows(np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[query_vec]]))
-            s = q @ cm.T
-            # corpus columns are sorted by id; a stable sort on -score breaks
-            # ties towards the smaller corpus id
-            order = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-            top = np.take_along_axis(s, order, axis=1)
+            order, top = _best(q @ cm.T, cid, k)
             nq = len(pdf)
             yield pd.DataFrame({
                 query_id: np.repeat(pdf[query_id].to_numpy(), kk),
@@ -116,55 +151,9 @@ def _topk_arrow(queries, query_id, query_vec, ids, mat, k, sc, qtype):
                 "score": top.reshape(-1),
             })
 
-    schema = T.StructType([T.StructField(query_id, qtype), T.StructField("rank", T.LongType()),
-                           T.StructField("corpus_id", T.LongType()), T.StructField("score", T.DoubleType())])
     return queries.select(query_id, query_vec).mapInPandas(kernel, schema)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_vec: str,
-          corpus_id: str = "item_id", corpus_vec: str = "embedding", k: int = 5,
-          max_bytes: int = MAX_BROADCAST_BYTES, chunks: int | None = None) -> DataFrame:
-    """(query_id, rank, corpus_id, score), k = min(k, corpus size).
-
-    Ties go to the smaller corpus id.  A corpus above the broadcast bound is
-    processed in bounded chunks and the partial lists are merged per note.
-    """
-    n, d, need = corpus_plan(corpus, corpus_vec, max_bytes)
-    chunks = max(need, chunks or 1)
-    qtype = queries.schema[query_id].dataType
-    sc = queries.sparkSession.sparkContext
-    if chunks == 1:
-        ids, mat = _corpus_matrix(corpus, corpus_id, corpus_vec)
-        return _topk_arrow(queries, query_id, query_vec, ids, mat, k, sc, qtype)
-
-    # Large corpus: bounded chunks by a hash of the row; chunks are doubled
-    # until each holds no more than the bound, before any is collected.
-    limit_rows = max(1, max_bytes // (max(d, 1) * 8 + 16))
-    while True:
-        keyed = corpus.withColumn("_chunk", F.pmod(F.xxhash64(F.col(corpus_id), F.col(corpus_vec)), F.lit(chunks)))
-        sizes = {r["_chunk"]: r["n"] for r in
-                 keyed.groupBy("_chunk").count().withColumnRenamed("count", "n").collect()}
-        if max(sizes.values(), default=0) <= limit_rows or chunks > 64 * n:
-            break
-        chunks *= 2
-    parts = []
-    for c in range(chunks):
-        if sizes.get(c, 0) == 0:
-            continue
-        if sizes[c] > limit_rows:
-            raise ValueError(f"{sizes[c]} equal corpus rows exceed the bound of {limit_rows}")
-        ids, mat = _corpus_matrix(keyed.filter(F.col("_chunk") == c), corpus_id, corpus_vec)
-        parts.append(_topk_arrow(queries, query_id, query_vec, ids, mat, k, sc, qtype))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    merged = allp.groupBy(query_id).agg(F.slice(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("neg"), F.col("corpus_id").alias("id")))), 1, k).alias("_t"))
-    return merged.select(query_id, F.posexplode("_t").alias("pos", "t")).select(
-        query_id, (F.col("pos") + 1).cast("long").alias("rank"), F.col("t.id").alias("corpus_id"),
-        (-F.col("t.neg")).alias("score"))
-
-
 def semantic_search(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id",
                     query_vec: str = "embedding", corpus_id: str = "item_id",
                     corpus_vec: str = "embedding", query_text: str | None = None,
@@ -182,10 +171,10 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, query_id: str = "quer
         out = out.join(queries.select(F.col(query_id).alias("query_index"),
                                       F.col(query_text).alias("query_text")), "query_index")
     if corpus_text:
-        # The corpus already passed the broadcast bound above.
+        # Spark broadcasts the texts when their measured size allows it
         texts = corpus.select(F.col(corpus_id).cast("long").alias("corpus_id"),
                               F.col(corpus_text).alias("matched_sentence"))
-        out = out.join(F.broadcast(texts), "corpus_id", "left")
+        out = out.join(texts, "corpus_id", "left")
     cols = ["query_index"] + (["query_text"] if query_text else []) + ["rank", "corpus_id"] \
         + (["matched_sentence"] if corpus_text else []) + ["similarity_score"]
     return out.select(*cols)
@@ -195,9 +184,69 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, query_id: str = "quer
 # Embedding providers.  The original used a sentence encoder per note; on
 # Spark we offer (a) vectors already in a column, (b) exact sparse TF-IDF over
 # the cleaned tokens with cosine by an inverted-index join, (c) a caller
-# encoder applied per Arrow batch to distinct texts only.
+# encoder applied per Arrow batch to distinct texts only, (d) hashed TF-IDF,
+# a vector column from the tokens alone.
 # ---------------------------------------------------------------------------
 
+HASH_DIMS = 1024
+
+
+def _hashed_counts(column: pa.Array, dims: int) -> np.ndarray:
+    """(texts, dims) token counts; a token's place is its MD5 (first 32 bits) modulo ``dims``."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    coded = column.flatten().dictionary_encode()
+    place = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dims for t in coded.dictionary.to_pylist()],
+                     dtype=np.int64)
+    out = np.zeros((len(sizes), dims))
+    if len(place):
+        np.add.at(out, (np.repeat(np.arange(len(sizes)), sizes), place[np.asarray(coded.indices)]), 1.0)
+    return out
+
+
+def hash_idf(frames: list[DataFrame], tokens_col: str = "tokens", dims: int = HASH_DIMS) -> np.ndarray:
+    """C1(d), fit: ln((N + 1) / (texts with the place + 1)) per place, over all rows of ``frames``.
+
+    Each task sends one row of ``dims`` counts for a batch; nothing else is shuffled or collected.
+    """
+    def kernel(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.column(0).slice(at, 1_000)
+                df = (_hashed_counts(part, dims) > 0).sum(0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([df.tolist()])], ["n", "df"])
+
+    rows = [f.select(tokens_col).mapInArrow(kernel, "n long, df array<long>") for f in frames]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    total = every.select("n", F.posexplode("df").alias("place", "df")).groupBy("place") \
+        .agg(F.sum("n").alias("n"), F.sum("df").alias("df")).collect()
+    out = np.zeros(dims)
+    for r in total:
+        out[r["place"]] = np.log((r["n"] + 1.0) / (r["df"] + 1.0))
+    return out
+
+
+def hash_vectors(df: DataFrame, id_col: str, tokens_col: str, idf: np.ndarray, out: str = "embedding") -> DataFrame:
+    """C1(d), apply: (id, out array<double>) -- counts times ``idf``, unit length; no tokens give a zero vector.
+
+    A map over Arrow batches without a shuffle.
+    """
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType),
+                           T.StructField(out, T.ArrayType(T.DoubleType()))])
+    dims = len(idf)
+
+    def kernel(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                x = _unit_rows(_hashed_counts(part.column(1), dims) * idf)
+                vecs = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dims, pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vecs], [id_col, out])
+
+    return df.select(id_col, tokens_col).mapInArrow(kernel, schema)
+
+
 def tfidf_weights(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """(id, term, w): L2-normalised tf * idf, idf = ln((N+1)/(df+1)).
 
@@ -207,8 +256,6 @@ def tfidf_weights(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     task before the shuffle; AQE splits its side of the join if it is hot);
     the norm is a window over one document's terms.
     """
-    from pyspark.sql import Window
-
     n_docs = docs.count()
     tf = docs.select(id_col, F.explode(tokens_col).alias("term")).groupBy(id_col, "term") \
         .agg(F.count(F.lit(1)).alias("tf"))

@@ -1,10 +1,8 @@
 """Roles the driver's test tables play (see FIXTURES.md).
 
-* vectors: ``embeddings``; rows with vec_id < CORPUS_ROWS are the theme
-  corpus (the original corpus has 20 sentences), all other rows are notes.
-  Every row is used in one of the two roles.
-* corpus text: ``benchmark`` text of the same id.
-* notes (text): ``documents``; cleaned with the note pipeline.
+* notes: every row of ``documents``; theme corpus: every row of ``benchmark``.
+* vectors: hashed TF-IDF of the cleaned texts of both.
+* fixed clusters: ``doc_id % FIXED_K``.
 * participants / visits / dosing days: ``events`` (purchase = visit, click =
   ART dose day, view = BDQ dose day).
 """
@@ -14,25 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewise.functions.vectors import as_doubles
+from notewise.functions.text import note_tokens
+from notewise.operators.search import hash_idf, hash_vectors
 from notewise.sources.tables import load
 
-# Fixed value: size of the theme corpus of the original workload.
-CORPUS_ROWS = 20
 
-
-def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = load(spark, sf_dir, "embeddings")
-    bench = load(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text"))
-    c = emb.filter(F.col("vec_id") < CORPUS_ROWS).select(
-        F.col("vec_id").alias("item_id"), as_doubles("embedding").alias("embedding"))
-    return c.join(bench, "item_id", "left")
-
-
-def note_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = load(spark, sf_dir, "embeddings")
-    return emb.filter(F.col("vec_id") >= CORPUS_ROWS).select(
-        F.col("vec_id").alias("query_id"), as_doubles("embedding").alias("embedding"), "label")
+def search_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(notes (query_id, embedding, note), corpus (item_id, embedding, text)): all documents, all of ``benchmark``."""
+    docs = load(spark, sf_dir, "documents", spread_by="doc_id")
+    notes = docs.select(F.col("doc_id").alias("query_id"), note_tokens("text").alias("tokens"), F.col("text").alias("note"))
+    bench = load(spark, sf_dir, "benchmark").select("item_id", note_tokens("text").alias("tokens"), "text")
+    idf = hash_idf([notes, bench])
+    return (hash_vectors(notes, "query_id", "tokens", idf),
+            hash_vectors(bench, "item_id", "tokens", idf).join(bench.select("item_id", "text"), "item_id"))
 
 
 # Which event types play the visits and the dosing days of the
@@ -45,15 +37,15 @@ FIXED_K = 6
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, participant_id, visit_code, visit_date, query_index).
 
-    Each visit takes the note ``CORPUS_ROWS + event_id % (number of notes)``.
+    Each visit takes the note ``event_id % (number of documents)``.
     """
-    n_notes = note_vectors(spark, sf_dir).count()
+    n_notes = load(spark, sf_dir, "documents").count()
     ev = load(spark, sf_dir, "events").filter(F.col("event_type") == VISIT_EVENT)
     return ev.select(F.col("event_id").alias("row_id"),
                      F.col("user_id").cast("string").alias("participant_id"),
                      F.concat(F.lit("V"), F.col("event_id").cast("string")).alias("visit_code"),
                      F.to_date("ts").alias("visit_date"),
-                     (F.lit(CORPUS_ROWS) + F.col("event_id") % F.lit(n_notes)).alias("query_index"))
+                     (F.col("event_id") % F.lit(n_notes)).alias("query_index"))
 
 
 def doses(spark: SparkSession, sf_dir: str, drug: str) -> DataFrame:
@@ -68,8 +60,8 @@ def search_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     from notewise.operators.merge import ranks_to_wide
     from notewise.operators.search import semantic_search
 
-    res = semantic_search(note_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), "query_id", "embedding",
-                          "item_id", "embedding", corpus_text="text", k=5, digits=4)
+    notes, corpus = search_frames(spark, sf_dir)
+    res = semantic_search(notes, corpus, "query_id", "embedding", "item_id", "embedding", corpus_text="text", k=5, digits=4)
     return ranks_to_wide(res, "query_index", 5)
 
 
@@ -78,8 +70,8 @@ def modelling_table(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> D
     from notewise.operators.merge import attach_cluster, interval_adherence, visit_intervals
 
     v = visits(spark, sf_dir)
-    clusters = note_vectors(spark, sf_dir).select(F.col("query_id").alias("query_index"),
-                                                  (F.col("label") % FIXED_K).cast("bigint").alias("cluster"))
+    clusters = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_index"),
+                                                       (F.col("doc_id") % FIXED_K).cast("bigint").alias("cluster"))
     base = attach_cluster(v.join(search_wide(spark, sf_dir), "query_index"), clusters, on="query_index")
     iv = visit_intervals(base).persist()
     out = None

@@ -1,22 +1,22 @@
 """Clustering queries (D1-D20, A8) on the note similarity vectors.
 
-The clustered vectors are each note's cosine with the theme corpus, ordered
-by corpus id (FIXTURES: "similarity vectors").  Fixed clusters are
-``label % 6``; deterministic Lloyd starts from the first k notes by id.
+The clustered vectors are each document's cosine with every row of the theme
+corpus, ordered by corpus id (FIXTURES: "similarity vectors").  Fixed clusters are
+``doc_id % 6``; deterministic Lloyd starts from the first k documents by id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notewise.functions.text import cluster_label, note_tokens
+from notewise.functions.text import cluster_label, note_tokens, word_tokens
 from notewise.functions.vectors import r4
 from notewise.operators.clustering import (cluster_summary, first_k_centres, kmeans, lloyd,
                                            lloyd_many, measures_many, project_2d, representatives, silhouette_profile,
                                            silhouette_samples)
 from notewise.operators.scoring import best_k, elbow, k_summary, metrics_for, score_k, sweep_k
 from notewise.operators.search import similarity_vectors
-from notewise.plans.fixtures import corpus_vectors, note_vectors
+from notewise.plans.fixtures import search_frames
 from notewise.plans.q_search import _VECS
 from notewise.operators.coherence import coherence_cv, model_coherence, topic_keywords
 from notewise.plans.q_text import sql_note_tokens, sql_word_tokens
@@ -28,15 +28,13 @@ FIXED_K = 6
 
 
 def sim_points(spark, sf_dir):
-    """(query_id, sims array<double>, label) -- one similarity vector per note."""
-    notes = note_vectors(spark, sf_dir)
-    sims = similarity_vectors(notes, corpus_vectors(spark, sf_dir), "query_id", "embedding",
-                              "item_id", "embedding", out="sims")
-    return sims.join(notes.select("query_id", "label"), "query_id")
+    """(query_id, sims array<double>) -- one similarity vector per document."""
+    notes, corpus = search_frames(spark, sf_dir)
+    return similarity_vectors(notes, corpus, "query_id", "embedding", "item_id", "embedding", out="sims")
 
 
 def fixed_clusters(spark, sf_dir):
-    return sim_points(spark, sf_dir).withColumn("cluster", (F.col("label") % FIXED_K).cast("long"))
+    return sim_points(spark, sf_dir).withColumn("cluster", (F.col("query_id") % FIXED_K).cast("long"))
 
 
 # ---------------------------------------------------------------------------
@@ -47,8 +45,7 @@ _SV = f"""{_VECS},
 sv AS (SELECT query_index AS id, list(score ORDER BY corpus_id) AS v FROM s GROUP BY query_index),
 ex AS (SELECT id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM sv)"""
 
-_FIXED_FA = f"""fa AS (SELECT 6 AS k, sv.id, CAST(e.label % {FIXED_K} AS BIGINT) AS cluster
-       FROM sv JOIN embeddings e ON e.vec_id = sv.id)"""
+_FIXED_FA = f"""fa AS (SELECT 6 AS k, id, CAST(id % {FIXED_K} AS BIGINT) AS cluster FROM sv)"""
 
 
 def _lloyd_sql(ks) -> str:
@@ -147,7 +144,7 @@ WITH {_SV},
 {_METRIC_OUT}
 """)
 def cluster_metrics(spark, sf_dir):
-    """D5, D7, D9, D10, D11 for the fixed clustering (label % 6)."""
+    """D5, D7, D9, D10, D11 for the fixed clustering (doc_id % 6)."""
     pts = fixed_clusters(spark, sf_dir).persist()
     return _metrics_df(spark, [metrics_for(pts, "query_id", "sims", FIXED_K)])
 
@@ -321,11 +318,8 @@ def _coherence(docs, member):
         "topic", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), "coherence")
 
 
-def _coh_docs(spark, sf_dir, ids=None):
-    from notewise.functions.text import word_tokens
-
-    docs = load(spark, sf_dir, "documents", spread_by="doc_id").select("doc_id", word_tokens("text").alias("tk"))
-    return docs if ids is None else docs.join(ids, "doc_id", "left_semi")
+def _coh_docs(spark, sf_dir):
+    return load(spark, sf_dir, "documents", spread_by="doc_id").select("doc_id", word_tokens("text").alias("tk"))
 
 
 @query("coherence_cv", f"""
@@ -351,7 +345,7 @@ def _scored(spark, sf_dir):
     pts = sim_points(spark, sf_dir).persist()
     metrics, labels = sweep_k(pts, "query_id", "sims", KS, method="lloyd")
     labels = labels.persist()
-    docs = _coh_docs(spark, sf_dir, pts.select(F.col("query_id").alias("doc_id"))).persist()
+    docs = _coh_docs(spark, sf_dir).persist()
     member = labels.select(F.col("query_id").alias("doc_id"), (F.col("k") * 100 + F.col("cluster")).alias("topic"))
     per_topic = _coherence(docs, member).withColumn("k", F.floor(F.col("topic") / 100))
     coh = model_coherence(per_topic, "k")

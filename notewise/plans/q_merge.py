@@ -9,8 +9,7 @@ from notewise.operators import cv
 from notewise.operators.encode import interaction_code, label_encode, levels, one_hot
 from notewise.operators.merge import visit_intervals
 from notewise.operators.models import baselines
-from notewise.plans.fixtures import (CORPUS_ROWS, DRUG_EVENTS, FIXED_K, modelling_table, search_wide,
-                                     visits)
+from notewise.plans.fixtures import DRUG_EVENTS, FIXED_K, modelling_table, search_wide, visits
 from notewise.plans.q_search import _VECS
 from notewise.plans.registry import R4, query
 from notewise.sources.tables import load
@@ -28,9 +27,9 @@ top AS (SELECT rr.query_index, rr.rnk, b.text AS sent, {R4('rr.score')} AS sc
 wide AS (SELECT query_index, {sel} FROM top GROUP BY query_index)"""
 
 
-_VIS = f"""nq AS (SELECT count(*) AS nq FROM embeddings WHERE vec_id >= {CORPUS_ROWS}),
+_VIS = f"""nq AS (SELECT count(*) AS nq FROM documents),
 vis AS (SELECT event_id AS row_id, CAST(user_id AS VARCHAR) AS participant_id, 'V' || CAST(event_id AS VARCHAR) AS visit_code,
-               CAST(ts AS DATE) AS visit_date, {CORPUS_ROWS} + event_id % nq.nq AS query_index
+               CAST(ts AS DATE) AS visit_date, event_id % nq.nq AS query_index
         FROM events CROSS JOIN nq WHERE event_type = 'purchase'),
 chunks(chunk, d0, d1) AS (VALUES ('before', -7, 0), ('after1', 0, 7), ('after2', 7, 14)),
 iv AS (SELECT vis.*, chunks.chunk, vis.visit_date + chunks.d0 AS start_date, vis.visit_date + (chunks.d1 - 1) AS end_date
@@ -52,13 +51,12 @@ MT_SQL = f"""{_wide_sql()},
 {_VIS},
 {_adh_sql()},
 mt AS (SELECT iv.participant_id, iv.visit_code, iv.visit_date, iv.row_id, iv.query_index,
-              CAST(e.label % {FIXED_K} AS BIGINT) AS cluster, {', '.join('wide.' + c for c in _WIDE_COLS)},
+              CAST(iv.query_index % {FIXED_K} AS BIGINT) AS cluster, {', '.join('wide.' + c for c in _WIDE_COLS)},
               iv.chunk, CAST(adh.dose_days AS BIGINT) AS dose_days,
               adh.dose_days / CAST(date_diff('day', iv.start_date, iv.end_date) + 1 AS DOUBLE) AS adherence,
               iv.start_date, iv.end_date, adh.drug
        FROM iv JOIN adh ON adh.row_id = iv.row_id AND adh.chunk = iv.chunk
-               JOIN wide ON wide.query_index = iv.query_index
-               JOIN embeddings e ON e.vec_id = iv.query_index)"""
+               JOIN wide ON wide.query_index = iv.query_index)"""
 
 _MT_COLS = ["participant_id", "visit_code", "visit_date", "row_id", "query_index", "cluster", *_WIDE_COLS,
             "chunk", "dose_days", "adherence", "start_date", "end_date", "drug"]

@@ -1,5 +1,6 @@
 """The choice of k, through the registered queries, against a direct computation on small tables."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -18,25 +19,29 @@ WORDS = ["river", "mountain", "forest", "village", "market", "harbor", "castle",
 def tables(tmp_path_factory):
     rng = np.random.default_rng(7)
     d = tmp_path_factory.mktemp("sf")
-    n = 70
-    emb = rng.normal(size=(n, 6)).round(3)
+    n = 50
     texts = [" ".join(rng.choice(WORDS, rng.integers(1, 40))) for _ in range(n)]
     texts[25] = " ".join(rng.choice(WORDS, 140))  # more than one window
     ids = pa.array(range(n), pa.int64())
-    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(emb.astype(np.float32).tolist(), pa.list_(pa.float32())),
-                             "label": pa.array([i % 10 for i in range(n)], pa.int32())}), d / "embeddings.parquet")
     pq.write_table(pa.table({"doc_id": ids, "text": texts, "lang": ["en"] * n, "source": ["s"] * n,
                              "n_chars": pa.array([len(t) for t in texts], pa.int64())}), d / "documents.parquet")
-    pq.write_table(pa.table({"item_id": ids, "text": texts}), d / "benchmark.parquet")
-    return str(d), emb.astype(np.float32).astype(float), texts
+    themes = [" ".join(rng.choice(WORDS, 4)) for _ in range(12)]
+    pq.write_table(pa.table({"item_id": pa.array(range(12), pa.int64()), "text": themes}), d / "benchmark.parquet")
+    return str(d), themes, texts
 
 
-def _direct(emb, texts):
-    corpus, notes = emb[:20], emb[20:]
-    unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
-    x = unit(notes) @ unit(corpus).T
+def _direct(themes, texts):
+    every = [t.split() for t in texts + themes]
+    place = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1024 for w in WORDS}
+    counts = np.zeros((len(every), 1024))
+    for row, t in zip(counts, every, strict=True):
+        for w in t:
+            row[place[w]] += 1
+    v = counts * np.log((len(every) + 1) / ((counts > 0).sum(0) + 1))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    x = np.round(v[:len(texts)] @ v[len(texts):].T, 12)
     dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    tokens = [t.split() for t in texts[20:]]
+    tokens = [t.split() for t in texts]
     rows = {}
     for k in range(2, 16):
         c = x[:k].copy()
@@ -77,8 +82,8 @@ def _direct(emb, texts):
 
 def test_scores_best_and_top_equal_direct_computation(spark, tables):
     registry.load_all()
-    d, emb, texts = tables
-    want = _direct(emb, texts)
+    d, themes, texts = tables
+    want = _direct(themes, texts)
     got = {r.k: r.asDict() for r in registry.QUERIES["k_scores"](spark, d).collect()}
     assert sorted(got) == sorted(want)
     for k, row in want.items():

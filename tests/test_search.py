@@ -34,23 +34,54 @@ def test_ties_zero_vector_and_small_corpus(spark):
     assert [r[3] for r in rows[3:]] == [0.0, 0.0, 0.0]
 
 
-def test_chunked_corpus_equals_single_pass(spark):
-    rng = np.random.default_rng(1)
-    q, c = rng.normal(size=(20, 4)), rng.normal(size=(40, 4))
-    qdf, cdf = _frames(spark, q, c)
-    one = sorted(tuple(r) for r in top_k(qdf, cdf, "qid", "v", "cid", "v", 5).collect())
-    many = sorted(tuple(r) for r in top_k(qdf, cdf, "qid", "v", "cid", "v", 5, chunks=4).collect())
-    assert [(a[0], a[1], a[2]) for a in one] == [(b[0], b[1], b[2]) for b in many]
+def test_large_corpus_is_joined_by_blocks_without_the_driver(spark, monkeypatch):
+    from notewise.operators import search
 
-
-def test_corpus_over_the_bound_is_split_until_it_fits(spark):
-    rng = np.random.default_rng(2)
-    q, c = rng.normal(size=(10, 4)), rng.normal(size=(300, 4))
+    rng = np.random.default_rng(1)
+    q, c = rng.normal(size=(20, 4)), rng.normal(size=(300, 4))
+    c[100:160] = c[7]  # equal rows, more than a block holds
+    q[3] = 0.0
     qdf, cdf = _frames(spark, q, c)
     one = sorted(tuple(r) for r in top_k(qdf, cdf, "qid", "v", "cid", "v", 5).collect())
-    # 48 bytes a row: at most 40 of the 300 rows at once, where the average chunk is just full
-    many = sorted(tuple(r) for r in top_k(qdf, cdf, "qid", "v", "cid", "v", 5, max_bytes=40 * 48).collect())
-    assert [(a[0], a[1], a[2]) for a in one] == [(b[0], b[1], b[2]) for b in many]
+    full = sorted((r.qid, r.sims) for r in similarity_vectors(qdf, cdf, "qid", "v", "cid", "v").collect())
+
+    def fail(*_):
+        raise AssertionError("the corpus was collected")
+
+    monkeypatch.setattr(search, "_corpus_matrix", fail)
+    many = sorted(tuple(r) for r in top_k(qdf, cdf, "qid", "v", "cid", "v", 5, max_bytes=100, block_rows=7).collect())
+    assert many == one
+    wide = sorted((r.qid, r.sims) for r in similarity_vectors(qdf, cdf, "qid", "v", "cid", "v", max_bytes=100,
+                                                             block_rows=7).collect())
+    assert wide == full and len(wide[0][1]) == 300
+
+
+def test_hashed_tfidf_vectors(spark):
+    import hashlib
+    import math
+
+    from notewise.operators.search import hash_idf, hash_vectors
+
+    texts = [["a", "b", "a"], ["b", "c"], [], None, ["é", "c", "c", "a"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, tokens array<string>").repartition(2)
+    corpus = spark.createDataFrame([(0, ["c", "d"])], "id long, tokens array<string>")
+    dims = 16
+    idf = hash_idf([docs, corpus], "tokens", dims)
+    place = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dims
+    every = [t or [] for t in texts] + [["c", "d"]]
+    for p in range(dims):
+        n = sum(any(place(w) == p for w in t) for t in every)
+        assert idf[p] == math.log(7 / (n + 1))
+    got = {r.id: np.array(r.embedding) for r in hash_vectors(docs, "id", "tokens", idf).collect()}
+    for i, t in enumerate(texts):
+        x = np.zeros(dims)
+        for w in t or []:
+            x[place(w)] += idf[place(w)]
+        n = np.linalg.norm(x)
+        assert np.allclose(got[i], x / n if n else x, atol=1e-15)
+    hits = top_k(hash_vectors(docs, "id", "tokens", idf), hash_vectors(corpus, "id", "tokens", idf), "id", "embedding",
+                 "id", "embedding", 1)
+    assert {r.id for r in hits.collect()} == {0, 1, 2, 3, 4}
 
 
 def test_similarity_vectors_order_by_corpus_id(spark):
