@@ -7,6 +7,8 @@ higher-order array functions.  A note is processed whole, never a prefix.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,46 +235,27 @@ def lemma_table(tokens_df: DataFrame, token_col: str = "token",
     return best
 
 
-# Bound on the (token, lemma) rows shipped to every executor for in-row use.
-MAX_LEMMA_ROWS = 2_000_000
-
-
 def lemmatize_tokens(df: DataFrame, id_col: str, tokens_col: str, table: DataFrame,
-                     out_col: str = "lemmas", max_rows: int = MAX_LEMMA_ROWS) -> DataFrame:
+                     out_col: str = "lemmas", may_change: Column | None = None) -> DataFrame:
     """Apply a (token, lemma) table to an array column, keeping token order.
 
-    The table holds only vocabulary words whose lemma differs.  When its
-    size is within ``max_rows`` it is broadcast and applied in-row per Arrow
-    batch (no shuffle, a note never leaves its partition).  Above the bound
-    the tokens are exploded with their position, looked up with an
-    equi-join and put back per note.  Returns (id_col, out_col); notes
-    without tokens get an empty list.
+    Only tokens that may change (``may_change``, a condition on ``token``) leave
+    their note: they are looked up by an equi-join, and the changes of a note
+    come back as a map from position to lemma that is applied in the row.  All
+    in the JVM, the same way at every size.  Returns (id_col, out_col), one row
+    per input row; missing token lists give empty lists.
     """
-    n = table.count()
-    if n <= max_rows:
-        import pandas as pd
-
-        mapping = {r["token"]: r["lemma"] for r in table.select("token", "lemma").collect()}
-        bc = df.sparkSession.sparkContext.broadcast(mapping)
-        id_type = df.schema[id_col].dataType
-
-        def kernel(batches):
-            m = bc.value
-            for pdf in batches:
-                out = [[m.get(t, t) for t in toks] if toks is not None else [] for toks in pdf[tokens_col]]
-                yield pd.DataFrame({id_col: pdf[id_col], out_col: out})
-
-        from pyspark.sql import types as T
-
-        schema = T.StructType([T.StructField(id_col, id_type),
-                               T.StructField(out_col, T.ArrayType(T.StringType()))])
-        return df.select(id_col, tokens_col).mapInPandas(kernel, schema)
-    ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    looked = ex.join(table, "token", "left") \
-        .select(id_col, "pos", F.coalesce("lemma", "token").alias("w"))
-    back = looked.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("pos", "w")))).alias("pw"))
-    return back.select(id_col, F.transform("pw", lambda x: x["w"]).alias(out_col))
+    rows = df.select(id_col, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias("_tk")) \
+        .withColumn("_h", F.xxhash64("_tk"))
+    # rows that agree in id and tokens have the same changes
+    ex = rows.select(F.col(id_col).alias("_id"), F.col("_h").alias("_eh"), F.posexplode("_tk").alias("pos", "token"))
+    if may_change is not None:
+        ex = ex.filter(may_change)
+    changed = ex.join(table.select("token", "lemma"), "token").groupBy("_id", "_eh") \
+        .agg(F.map_from_entries(F.collect_set(F.struct("pos", "lemma"))).alias("_m"))
+    out = rows.join(changed, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_eh")), "left")
+    lemma = F.transform("_tk", lambda t, i: F.coalesce(F.try_element_at("_m", i), t))
+    return out.select(id_col, F.when(F.col("_m").isNull(), F.col("_tk")).otherwise(lemma).alias(out_col))
 
 
 def preprocess_notes(df: DataFrame, id_col: str, text_col: str,
@@ -282,12 +265,13 @@ def preprocess_notes(df: DataFrame, id_col: str, text_col: str,
     """Clean, tokenise, drop stop/short words, lemmatise, re-join.
 
     Returns (id_col, tokens, out_col).  Without lemmatising the whole pipeline
-    is one projection; lemmatising adds a vocabulary pass and one join.
+    is one projection; lemmatising adds a vocabulary pass and two joins.
     """
     base = df.select(id_col, note_tokens(text_col, stop_words, min_len, null_token).alias("tokens"))
     if not lemmatize:
         return base.withColumn(out_col, join_tokens("tokens"))
     flat = base.select(F.explode("tokens").alias("token"))
     table = lemma_table(flat, "token", lemmas)
-    out = lemmatize_tokens(base.cache(), id_col, "tokens", table, "lemmas")
+    by_rule = reduce(or_, [F.col("token").endswith(suffix) for suffix, _ in NOUN_SUFFIX_RULES])
+    out = lemmatize_tokens(base, id_col, "tokens", table, "lemmas", by_rule if lemmas is None else None)
     return out.select(id_col, F.col("lemmas").alias("tokens"), join_tokens("lemmas").alias(out_col))

@@ -372,9 +372,9 @@ def rank_within(df: DataFrame, key: str, order_cols: list, out: str = "pos") ->
 
     No per-key window: rows are range-partitioned on (key, order) so one
     large key spans many partitions, sorted inside each partition, and the
-    layout is fixed with a reliable checkpoint.  A small table of rows per
-    (partition, key) gives each partition its offset inside the key; the
-    local positions come from one sequential pass per partition.
+    layout is fixed with a reliable checkpoint.  Rows of a key are then
+    numbered one after the other inside a partition, and a small table of rows
+    per (partition, key) gives each partition its offset inside the key.
     ``order_cols`` (names or sort Columns such as ``F.desc(c)``) must make
     the order total (end with a unique id).
     """
@@ -384,30 +384,16 @@ def rank_within(df: DataFrame, key: str, order_cols: list, out: str = "pos") ->
     checkpoint_dir(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = df.repartitionByRange(n_parts, key, *order_cols).sortWithinPartitions(key, *order_cols) \
-        .withColumn("__rw_pid", F.spark_partition_id()).checkpoint()
-    counts = s.groupBy("__rw_pid", key).agg(F.count(F.lit(1)).alias("__rw_n"))
+        .withColumn("__rw_pid", F.spark_partition_id()).withColumn("__rw_row", F.monotonically_increasing_id()).checkpoint()
+    counts = s.groupBy("__rw_pid", key).agg(F.count(F.lit(1)).alias("__rw_n"), F.min("__rw_row").alias("__rw_first"))
     w = Window.partitionBy(key).orderBy("__rw_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("__rw_pid", key, F.coalesce(F.sum("__rw_n").over(w), F.lit(0)).alias("__rw_off"))
-    schema = T.StructType(s.schema.fields + [T.StructField("__rw_local", T.LongType())])
-
-    def kernel(batches):
-        seen: dict = {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            local = np.empty(len(pdf), dtype=np.int64)
-            for i, kv in enumerate(pdf[key].to_numpy()):
-                c = seen.get(kv, 0)
-                local[i] = c
-                seen[kv] = c + 1
-            pdf = pdf.copy()
-            pdf["__rw_local"] = local
-            yield pdf
-
-    ranked = s.mapInPandas(kernel, schema)
-    # the offsets table has at most (partitions x keys) rows
-    return ranked.join(F.broadcast(offs), ["__rw_pid", key]) \
-        .withColumn(out, (F.col("__rw_off") + F.col("__rw_local")).cast("bigint")).drop("__rw_pid", "__rw_off", "__rw_local")
+    offs = counts.select("__rw_pid", F.col(key).alias("__rw_key"), "__rw_first",
+                         F.coalesce(F.sum("__rw_n").over(w), F.lit(0)).alias("__rw_off")) \
+        .withColumnRenamed("__rw_pid", "__rw_p")
+    # at most (partitions x keys) rows on the right: Spark picks the join by its size
+    joined = s.join(offs, (F.col("__rw_pid") == F.col("__rw_p")) & F.col(key).eqNullSafe(F.col("__rw_key")))
+    return joined.withColumn(out, (F.col("__rw_row") - F.col("__rw_first") + F.col("__rw_off")).cast("bigint")) \
+        .drop("__rw_pid", "__rw_row", "__rw_p", "__rw_key", "__rw_first", "__rw_off")
 
 
 def silhouette_squared(df: DataFrame, vec: str, cluster: str = "cluster") -> float:
@@ -438,7 +424,7 @@ def silhouette_profile(samples: DataFrame, id_col: str, gap: int = 10) -> DataFr
     # one row per cluster: a global window over k rows is harmless
     offs = sizes.withColumn("y_lower", (F.lit(gap) + F.coalesce(F.sum(F.col("n") + F.lit(gap)).over(ws), F.lit(0)))
                             .cast("bigint"))
-    return ranked.join(F.broadcast(offs.select("cluster", "y_lower")), "cluster") \
+    return ranked.join(offs.select("cluster", "y_lower"), "cluster") \
         .select(id_col, "cluster", "pos", (F.col("y_lower") + F.col("pos")).alias("y"), "silhouette")
 
 

@@ -71,9 +71,16 @@ def group_kfold(df: DataFrame, group_col: str, n_splits: int = 5, fold_col: str
     return j.select(group_col, fold.cast("bigint").alias(fold_col))
 
 
-def with_folds(df: DataFrame, group_col: str, n_splits: int = 5, fold_col: str = "fold") -> DataFrame:
-    """Attach the fold of each row's group (one row per group joins back)."""
-    return df.join(group_kfold(df, group_col, n_splits, fold_col), group_col)
+def with_folds(df: DataFrame, group_col: str, n_splits: int = 5, fold_col: str = "fold",
+               by: str | None = None) -> DataFrame:
+    """Attach the fold of each row's group; with ``by`` every value of it is split on its own rows."""
+    if by is None:
+        return df.join(group_kfold(df, group_col, n_splits, fold_col), group_col)
+    out = None
+    for (v,) in sorted(tuple(r) for r in df.select(by).distinct().collect()):
+        part = with_folds(df.filter(F.col(by) == F.lit(v)), group_col, n_splits, fold_col)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def split(df: DataFrame, fold: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
@@ -81,17 +88,18 @@ def split(df: DataFrame, fold: int, fold_col: str = "fold") -> tuple[DataFrame,
     return df.filter(F.col(fold_col) != fold), df.filter(F.col(fold_col) == fold)
 
 
-def fold_counts(df: DataFrame, group_col: str, fold_col: str = "fold") -> DataFrame:
-    """H3: distinct groups and rows in the training and test part of every fold.
+def fold_counts(df: DataFrame, group_col: str, fold_col: str = "fold", by: str | None = None) -> DataFrame:
+    """H3: distinct groups and rows in the training and test part of every fold (of every value of ``by``).
 
     Test counts are per fold; training counts are totals minus the fold
     (groups never straddle folds).
     """
-    per = df.groupBy(fold_col).agg(F.countDistinct(group_col).alias("n_test_participants"),
-                                   F.count(F.lit(1)).alias("n_test_samples"))
-    w = Window.partitionBy()  # one row per fold
+    keys = [by] if by else []
+    per = df.groupBy(*keys, fold_col).agg(F.countDistinct(group_col).alias("n_test_participants"),
+                                          F.count(F.lit(1)).alias("n_test_samples"))
+    w = Window.partitionBy(*keys)  # one row per fold
     return per.select(
-        fold_col,
+        *keys, fold_col,
         (F.sum("n_test_participants").over(w) - F.col("n_test_participants")).cast("bigint").alias("n_train_participants"),
         F.col("n_test_participants").cast("bigint").alias("n_test_participants"),
         (F.sum("n_test_samples").over(w) - F.col("n_test_samples")).cast("bigint").alias("n_train_samples"),
@@ -105,20 +113,17 @@ def clip01(c) -> Column:
 
 
 def regression_metrics(preds: DataFrame, y: str = "y", p: str = "pred", by: str | list = "fold") -> DataFrame:
-    """H5-H7: MAE, RMSE and R^2 (1 - SSE/SST, SST around the group mean).
+    """H5-H7: MAE, RMSE and R^2 (1 - SSE/SST, SST around the group mean), in one aggregation.
 
-    Two aggregations: group means first, then the sums of squares against
-    them (numerically safer than sum(y^2) - n*mean^2).  R^2 follows the
-    convention of a constant truth: 1 when SSE is 0, else 0.
+    SST is n times the population variance, which Spark merges from centred
+    moments.  R^2 follows the convention of a constant truth: 1 when SSE is 0,
+    else 0.
     """
     by = [by] if isinstance(by, str) else list(by)
-    means = preds.groupBy(*by).agg(F.avg(y).alias("_ybar"))
-    j = preds.join(F.broadcast(means), by)
-    agg = j.groupBy(*by).agg(
-        F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"),
-        F.sqrt(F.avg((F.col(y) - F.col(p)) ** 2)).alias("rmse"),
-        F.sum((F.col(y) - F.col(p)) ** 2).alias("_sse"),
-        F.sum((F.col(y) - F.col("_ybar")) ** 2).alias("_sst"))
+    err = F.col(y) - F.col(p)
+    agg = preds.groupBy(*by).agg(
+        F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.sum(err * err).alias("_sse"),
+        (F.var_pop(y) * F.count(y)).alias("_sst"))
     r2 = F.when(F.col("_sst") == 0, F.when(F.col("_sse") == 0, 1.0).otherwise(0.0)) \
         .otherwise(F.lit(1.0) - F.col("_sse") / F.col("_sst"))
     return agg.select(*by, "mae", "rmse", r2.alias("r2"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.operators.cv import clip01, regression_metrics
@@ -20,37 +20,63 @@ def _fold_values(df: DataFrame, fold_col: str) -> list[int]:
     return sorted(int(r[0]) for r in df.select(fold_col).distinct().collect())
 
 
-def training_folds(df: DataFrame, folds: Sequence[int], fold_col: str = "fold") -> DataFrame:
-    """Each row once per fold whose training set contains it (folds - 1 copies)."""
-    arr = F.array(*[F.lit(f) for f in folds])
-    return df.withColumn("train_fold", F.explode(F.filter(arr, lambda f: f != F.col(fold_col))))
+def training_medians(df: DataFrame, y: str, keys: Sequence[str], fold_col: str = "fold") -> DataFrame:
+    """(keys, fold, median_pred): exact median of ``y`` over all rows outside each fold.
+
+    Rows are first counted by value and fold, so a training set is total minus
+    fold on counts and no row is copied.  The values are range-partitioned and
+    summed up in pieces; a row per piece and key carries the counts on, so the
+    distinct values of a key need not fit in one task.
+    """
+    from notewise.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    folds = _fold_values(df, fold_col)
+    inside = [F.count(F.when(F.col(fold_col) == f, 1)) for f in folds]
+    counts = df.filter(F.col(y).isNotNull()).groupBy(*keys, F.col(y).cast("double").alias("_v")) \
+        .agg(*[(F.count(F.lit(1)) - n).alias(f"_t{i}") for i, n in enumerate(inside)])
+    order = [*keys, "_v"]
+    laid = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    cols = [f"_t{i}" for i in range(len(folds))]
+    pieces = laid.groupBy(*keys, "_p").agg(*[F.sum(c).alias(c) for c in cols])
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*keys, "_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in cols],
+                           *[F.sum(c).over(Window.partitionBy(*keys)).alias(f"_n{c}") for c in cols])
+    upto = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    sums = laid.select(*keys, "_p", "_v", *cols, *[F.sum(c).over(upto).alias(f"_c{c}") for c in cols])
+    found = sums.join(pieces, [*keys, "_p"])
+    # a value holds the places [end - count, end) of the sorted training set
+    out = None
+    for f, c in zip(folds, cols, strict=True):
+        end = F.col(f"_b{c}") + F.col(f"_c{c}")
+        n = F.col(f"_n{c}")
+        part = found.select(*keys, "_v", (end - F.col(c)).alias("a"), end.alias("e"),
+                            F.floor((n - 1) / 2).alias("low"), F.floor(n / 2).alias("high"))
+        part = part.filter("(a <= low AND low < e) OR (a <= high AND high < e)").groupBy(*keys) \
+            .agg(((F.min("_v") + F.max("_v")) / 2).alias("median_pred")).withColumn(fold_col, F.lit(f).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def baselines(df: DataFrame, y: str, by: str | None = None, fold_col: str = "fold") -> DataFrame:
     """Predict the training mean / exact training median per fold.
 
-    Mean: per-fold sums once, training = total - fold.  Median: exact
-    ``median`` per training set; Spark's percentile keeps one counter per
-    distinct value and combines partial maps, so the memory follows the
-    distinct outcomes, not the rows.  Returns (by, model, fold, mae, rmse).
+    Mean: per-fold sums once, training = total - fold; median:
+    :func:`training_medians`.  Returns (by, model, fold, mae, rmse, r2).
     """
     keys = [by] if by else []
-    folds = _fold_values(df, fold_col)
-    per = df.groupBy(*keys, fold_col).agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
+    per = df.groupBy(*keys, fold_col).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
     w = Window.partitionBy(*keys)
-    mean_tr = per.select(*keys, fold_col,
-                         F.try_divide(F.sum("_s").over(w) - F.col("_s"), F.sum("_n").over(w) - F.col("_n")).alias("mean_pred"))
-    med_tr = training_folds(df.select(*keys, fold_col, y), folds, fold_col).groupBy(*keys, "train_fold") \
-        .agg(F.median(y).alias("median_pred")).withColumnRenamed("train_fold", fold_col)
-    consts = mean_tr.join(med_tr, keys + [fold_col])
-    test = df.select(*keys, fold_col, F.col(y).alias("y")).join(F.broadcast(consts), keys + [fold_col])
-    preds = test.select(*keys, fold_col, "y", F.lit("Mean_Baseline").alias("model"), F.col("mean_pred").alias("pred")) \
-        .unionByName(test.select(*keys, fold_col, "y", F.lit("Median_Baseline").alias("model"),
-                                 F.col("median_pred").alias("pred"))).persist()
-    m = regression_metrics(preds, "y", "pred", by=keys + ["model", fold_col])
-    return m.select(*keys, "model", fold_col, "mae", "rmse")
+    means = per.select(*keys, fold_col,
+                       F.try_divide(F.sum("_s").over(w) - F.col("_s"), F.sum("_n").over(w) - F.col("_n")).alias("mean_pred"))
+    consts = means.join(training_medians(df, y, keys, fold_col), keys + [fold_col], "left")
+    # one row per key and fold: small enough for Spark to broadcast by itself
+    preds = df.select(*keys, fold_col, F.col(y).alias("y")).join(consts, keys + [fold_col]).select(
+        *keys, fold_col, "y", F.explode(F.array(
+            F.struct(F.lit("Mean_Baseline").alias("model"), F.col("mean_pred").alias("pred")),
+            F.struct(F.lit("Median_Baseline").alias("model"), F.col("median_pred").alias("pred")))).alias("m"))
+    return regression_metrics(preds.select(*keys, fold_col, "y", "m.model", "m.pred"), "y", "pred",
+                              by=keys + ["model", fold_col])
 
 
 # ---------------------------------------------------------------------------
@@ -214,6 +240,29 @@ def _combine_lme(parts: list[dict], sign: list[int]) -> dict:
     return {"rows": rows, "sizes": sizes}
 
 
+def independent_columns(gram: np.ndarray, tol: float = 1e-9) -> list[int]:
+    """Columns of a design that are no combination of columns before them, from its Gram matrix.
+
+    Cholesky step by step: what is left of a column after the kept ones, as a
+    share of its own square, tells whether it adds anything.
+    """
+    left = gram.astype(np.float64).copy()
+    kept = []
+    for j in range(len(gram)):
+        if left[j, j] > tol * gram[j, j] and gram[j, j] > 0:
+            kept.append(j)
+            c = left[:, j] / left[j, j]
+            left = left - np.outer(c, left[j, :])
+    return kept
+
+
+def _columns(st: dict, kept: list[int]) -> dict:
+    """The statistics of some columns of the design."""
+    at = np.ix_(kept, kept)
+    rows = {**st["rows"], "sx": st["rows"]["sx"][kept], "sxy": st["rows"]["sxy"][kept], "sxx": st["rows"]["sxx"][at]}
+    return {"rows": rows, "sizes": {n: {**d, "st": d["st"][kept], "ss": d["ss"][at]} for n, d in st["sizes"].items()}}
+
+
 def _reml_parts(st: dict, theta: float):
     r = st["rows"]
     A, b, c = r["sxx"].copy(), r["sxy"].copy(), r["syy"]
@@ -241,7 +290,18 @@ def reml_objective(st: dict, theta: float) -> float:
 
 
 def fit_reml(st: dict, lo: float = -12.0, hi: float = 8.0) -> dict:
-    """Profile REML over log(theta) (golden section after a coarse grid), theta=0 included."""
+    """Profile REML over log(theta) (golden section after a coarse grid), theta=0 included.
+
+    A column that is a combination of columns before it (an empty cell, say) cannot be estimated: it is left out of
+    the fit, its coefficient is 0 and its standard error NaN; ``dropped`` lists such columns.
+    """
+    p_all = len(st["rows"]["sxy"])
+    kept = independent_columns(st["rows"]["sxx"])
+    if len(kept) < p_all:
+        fit = fit_reml(_columns(st, kept), lo, hi)
+        beta, se = np.zeros(p_all), np.full(p_all, np.nan)
+        beta[kept], se[kept] = fit["beta"], fit["se"]
+        return {**fit, "beta": beta, "se": se, "dropped": [j for j in range(p_all) if j not in kept]}
     grid = np.linspace(lo, hi, 41)
     vals = [reml_objective(st, math.exp(g)) for g in grid]
     i = int(np.argmin(vals))
@@ -267,7 +327,7 @@ def fit_reml(st: dict, lo: float = -12.0, hi: float = 8.0) -> dict:
     sigma2 = (c - b @ beta) / (N - p)
     cov = sigma2 * np.linalg.inv(A)
     return {"theta": theta, "beta": beta, "sigma2": sigma2, "se": np.sqrt(np.diag(cov)),
-            "group_var": theta * sigma2}
+            "group_var": theta * sigma2, "dropped": []}
 
 
 class LMEModel:
@@ -308,13 +368,24 @@ class LMEModel:
     def coefficients(self, spark) -> DataFrame:
         """Parameter, Coefficient, Std_Error, p_value (+ group variance rows)."""
         rows = []
+        dropped = {self.names[j] for j in self.fit.get("dropped", [])}
         for name, bj, se in zip(self.names, self.fit["beta"], self.fit["se"]):
-            z = bj / se if se > 0 else float("nan")
-            rows.append((name, float(bj), float(se), float(two_sided_p(z)) if se > 0 else None))
+            if name not in dropped:
+                z = bj / se if se > 0 else float("nan")
+                rows.append((name, float(bj), float(se), float(two_sided_p(z)) if se > 0 else None))
         rows.append(("Group Var", float(self.fit["group_var"]), None, None))
         rows.append(("Group Var / Scale", float(self.fit["theta"]), None, None))
         return spark.createDataFrame(rows, "Parameter string, Coefficient double, Std_Error double, p_value double")
 
+    def dropped(self, spark) -> DataFrame:
+        """(Parameter) of the columns that could not be estimated."""
+        return spark.createDataFrame([(self.names[j],) for j in self.fit.get("dropped", [])], "Parameter string")
+
+    def in_sample(self, df: DataFrame) -> DataFrame:
+        """I8: MAE, RMSE and R^2 of the fitted values on the rows of ``df``."""
+        f = self.fitted(df).select(F.lit(1).alias("_all"), _q(self.y).alias("y"), F.col("predicted_adherence").alias("pred"))
+        return regression_metrics(f, "y", "pred", by="_all").drop("_all")
+
     def interactions(self, spark, level: float = 0.95) -> DataFrame:
         """Interaction terms (names with ':') with normal CIs."""
         from notewise.functions.stats import norm_ppf

@@ -90,9 +90,10 @@ def model_frame(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> tuple
     Returns (frame, names) where names lists the feature columns of each
     model family: 'flat' = 5 sims + chunk code + cluster one-hot (ridge,
     forest, GAM); 'lme' = intercept, 5 sims, chunk and cluster treatment
-    dummies.
+    dummies; 'lme_linear' = the same with the chunk code as a number (the comparison's formula).
+    Every medication has its own folds.
     """
-    from notewise.operators.cv import group_kfold
+    from notewise.operators.cv import with_folds
     from notewise.operators.encode import label_encode, levels, one_hot, select_features, treatment_code
 
     mt = modelling_table(spark, sf_dir, drugs).persist()
@@ -104,8 +105,8 @@ def model_frame(spark: SparkSession, sf_dir: str, drugs=("ART", "BDQ")) -> tuple
                                  "chunk_code_s", "C(chunk_encoded)")
     mt, clus_t = treatment_code(mt, "cluster", "C(Cluster)", cl)
     mt = mt.withColumn("Intercept", F.lit(1.0))
-    folds = group_kfold(mt.filter(F.col("drug") == drugs[0]), "participant_id", 5)
-    mt = mt.join(folds, "participant_id").persist()
+    mt = with_folds(mt, "participant_id", 5, by="drug").persist()
     names = {"flat": SIM_COLS + ["chunk_encoded"] + onehot,
-             "lme": ["Intercept"] + SIM_COLS + chunk_t + clus_t}
+             "lme": ["Intercept"] + SIM_COLS + chunk_t + clus_t,
+             "lme_linear": ["Intercept"] + SIM_COLS + ["chunk_encoded"] + clus_t}
     return mt, names

@@ -7,20 +7,24 @@ corpus, ordered by corpus id (FIXTURES: "similarity vectors").  Fixed clusters a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from notewise.functions.text import cluster_label, note_tokens, word_tokens
-from notewise.functions.vectors import r4
-from notewise.operators.clustering import (cluster_summary, first_k_centres, kmeans, lloyd,
+from notewise.functions.vectors import r4, sq_dist
+from notewise.operators.clustering import (assign_many, cluster_summary, first_k_centres, kmeans, kmeans_many, lloyd,
                                            lloyd_many, measures_many, project_2d, representatives, silhouette_profile,
                                            silhouette_samples)
 from notewise.operators.scoring import best_k, elbow, k_summary, metrics_for, score_k, sweep_k
 from notewise.operators.search import similarity_vectors
+from notewise.operators.store import kmeans_labels, save_kmeans
 from notewise.plans.fixtures import search_frames
 from notewise.plans.q_search import _VECS
 from notewise.operators.coherence import coherence_cv, model_coherence, topic_keywords
 from notewise.plans.q_text import sql_note_tokens, sql_word_tokens
 from notewise.plans.registry import R4, query
+from notewise.session import checkpoint_dir
 from notewise.sources.tables import load
 
 KS = list(range(2, 16))
@@ -137,6 +141,52 @@ def lloyd_k6(spark, sf_dir):
     return lab.select("query_id", "cluster")
 
 
+@query("stored_kmeans_labels", f"""
+WITH RECURSIVE {_SV},
+{_lloyd_sql([6])}
+SELECT id AS query_id, cluster FROM fa
+""")
+def stored_kmeans_labels(spark, sf_dir):
+    """A7 + D2: centres fitted, saved as a parameter table, loaded again and applied to all documents."""
+    pts = sim_points(spark, sf_dir).persist()
+    _, centres = lloyd(pts, "query_id", "sims", first_k_centres(pts, "query_id", "sims", 6))
+    path = f"{checkpoint_dir(spark)}/kmeans-{uuid.uuid4().hex}"
+    save_kmeans(spark, path, centres, "sims")
+    return kmeans_labels(pts, path, "query_id").select("query_id", "cluster")
+
+
+@query("kmeans_properties", f"""
+SELECT CAST(k AS BIGINT) AS k, (SELECT count(*) FROM documents) AS n_rows, TRUE AS nearest, TRUE AS centred, TRUE AS not_worse
+FROM (SELECT unnest(range(2, 16)) AS k)
+""")
+def kmeans_properties(spark, sf_dir):
+    """What any best of 20 converged K-means has, for k = 2..15, recomputed by SQL expressions.
+
+    Every document is labelled with its nearest centre, every centre is the mean of its documents, and the
+    cost is not above that of Lloyd from the first k documents.
+    """
+    pts = sim_points(spark, sf_dir).persist()
+    best = kmeans_many(pts, "query_id", "sims", KS, restarts=20, tol=1e-18)
+    plain = lloyd_many(pts, "sims", {k: first_k_centres(pts, "query_id", "sims", k) for k in KS})
+    plain_cost = {m["k"]: m["wcss"] for m in measures_many(pts, "query_id", "sims", plain, with_silhouette=False)}
+    labels = assign_many(pts, "query_id", "sims", {k: c for k, (c, _) in best.items()})
+    cents = spark.createDataFrame([(k, j, [float(x) for x in row]) for k, (c, _) in best.items() for j, row in enumerate(c)],
+                                  "k long, cluster long, centre array<double>")
+    d = len(next(iter(best.values()))[0][0])
+    by_k = cents.groupBy("k").agg(F.collect_list(F.struct("cluster", "centre")).alias("cs"))
+    far = labels.join(pts, "query_id").join(by_k, "k").withColumn(
+        "ds", F.transform("cs", lambda c: F.struct(c["cluster"].alias("cluster"), sq_dist("sims", c["centre"]).alias("d"))))
+    own = F.filter("ds", lambda c: c["cluster"] == F.col("cluster"))[0]["d"]
+    low = F.array_min(F.transform("ds", lambda c: c["d"]))
+    per = far.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows"), F.every(own <= low + 1e-9).alias("nearest"),
+                               F.sum(own).alias("cost"))
+    means = far.groupBy("k", "cluster").agg(F.array(*[F.avg(F.col("sims")[i]) for i in range(d)]).alias("m")) \
+        .join(cents, ["k", "cluster"]).groupBy("k").agg(F.every(sq_dist("m", "centre") < 1e-12).alias("centred"))
+    limit = spark.createDataFrame([(k, float(v)) for k, v in plain_cost.items()], "k long, plain double")
+    return per.join(means, "k").join(limit, "k").select(
+        "k", "n_rows", "nearest", "centred", (F.col("cost") <= F.col("plain") * (1 + 1e-9)).alias("not_worse"))
+
+
 @query("cluster_metrics", f"""
 WITH {_SV},
 {_FIXED_FA},

@@ -96,28 +96,35 @@ def modelling_table_q(spark, sf_dir):
     return mt.select(*[r4(c).alias(c) if c == "adherence" else F.col(c) for c in _MT_COLS])
 
 
-def _recursive_folds_sql(src: str, gid: str) -> str:
-    return f"""g AS (SELECT {gid} AS gid, count(*) AS n FROM {src} GROUP BY 1),
-o AS (SELECT gid, n, row_number() OVER (ORDER BY n DESC, gid DESC) AS r FROM g),
-rec(r, gid, fold, loads) AS (
-  SELECT o.r, o.gid, 1, [o.n, 0, 0, 0, 0]::BIGINT[] FROM o WHERE o.r = 1
+def _recursive_folds_sql(src: str, gid: str, tag: str = "") -> str:
+    """CTEs ending in ``folds(gid, fold)``; names carry ``tag``."""
+    return f"""g{tag} AS (SELECT {gid} AS gid, count(*) AS n FROM {src} GROUP BY 1),
+o{tag} AS (SELECT gid, n, row_number() OVER (ORDER BY n DESC, gid DESC) AS r FROM g{tag}),
+rec{tag}(r, gid, fold, loads) AS (
+  SELECT o.r, o.gid, 1, [o.n, 0, 0, 0, 0]::BIGINT[] FROM o{tag} o WHERE o.r = 1
   UNION ALL
   SELECT o.r, o.gid, list_position(rec.loads, list_min(rec.loads)),
          list_transform(rec.loads, lambda x, i: CASE WHEN i = list_position(rec.loads, list_min(rec.loads)) THEN x + o.n ELSE x END)
-  FROM rec JOIN o ON o.r = rec.r + 1),
-folds AS (SELECT gid, CAST(fold AS BIGINT) AS fold FROM rec)"""
+  FROM rec{tag} rec JOIN o{tag} o ON o.r = rec.r + 1),
+folds{tag} AS (SELECT gid, CAST(fold AS BIGINT) AS fold FROM rec{tag})"""
+
+
+def _drug_folds_sql() -> str:
+    """CTEs ending in ``folds(drug, gid, fold)``: each medication's participants on its own rows."""
+    each = [_recursive_folds_sql(f"(SELECT * FROM mt WHERE drug = '{d}')", "participant_id", f"_{d}") for d in DRUG_EVENTS]
+    union = " UNION ALL ".join(f"SELECT '{d}' AS drug, gid, fold FROM folds_{d}" for d in DRUG_EVENTS)
+    return ",\n".join([*each, f"folds AS ({union})"])
 
 
 @query("group_folds", f"""
 WITH RECURSIVE {MT_SQL},
-mt1 AS (SELECT * FROM mt WHERE drug = 'ART'),
-{_recursive_folds_sql('mt1', 'participant_id')}
-SELECT gid AS participant_id, fold FROM folds
+{_drug_folds_sql()}
+SELECT drug, gid AS participant_id, fold FROM folds
 """)
 def group_folds_q(spark, sf_dir):
-    """H1: 5 group folds of the participants (whole participants, greedy balance)."""
-    mt = modelling_table(spark, sf_dir, drugs=("ART",))
-    return cv.group_kfold(mt, "participant_id", 5)
+    """5 group folds of each medication's participants (whole participants, greedy balance)."""
+    mt = modelling_table(spark, sf_dir).persist()
+    return cv.with_folds(mt, "participant_id", 5, by="drug").select("drug", "participant_id", "fold").distinct()
 
 
 @query("group_folds_orders", f"""
@@ -131,58 +138,55 @@ def group_folds_orders_q(spark, sf_dir):
 
 @query("fold_counts", f"""
 WITH RECURSIVE {MT_SQL},
-mt1 AS (SELECT * FROM mt WHERE drug = 'ART'),
-{_recursive_folds_sql('mt1', 'participant_id')},
-j AS (SELECT mt1.*, folds.fold FROM mt1 JOIN folds ON folds.gid = mt1.participant_id),
-per AS (SELECT fold, count(DISTINCT participant_id) AS tp, count(*) AS ts FROM j GROUP BY fold)
-SELECT fold, CAST(sum(tp) OVER () - tp AS BIGINT) AS n_train_participants, CAST(tp AS BIGINT) AS n_test_participants,
-       CAST(sum(ts) OVER () - ts AS BIGINT) AS n_train_samples, CAST(ts AS BIGINT) AS n_test_samples FROM per
+{_drug_folds_sql()},
+j AS (SELECT mt.*, folds.fold FROM mt JOIN folds ON folds.gid = mt.participant_id AND folds.drug = mt.drug),
+per AS (SELECT drug, fold, count(DISTINCT participant_id) AS tp, count(*) AS ts FROM j GROUP BY drug, fold)
+SELECT drug, fold, CAST(sum(tp) OVER (PARTITION BY drug) - tp AS BIGINT) AS n_train_participants,
+       CAST(tp AS BIGINT) AS n_test_participants, CAST(sum(ts) OVER (PARTITION BY drug) - ts AS BIGINT) AS n_train_samples,
+       CAST(ts AS BIGINT) AS n_test_samples FROM per
 """)
 def fold_counts_q(spark, sf_dir):
-    """H2/H3: participants and rows on each side of every fold."""
-    mt = cv.with_folds(modelling_table(spark, sf_dir, drugs=("ART",)), "participant_id", 5)
-    return cv.fold_counts(mt, "participant_id")
+    """H2/H3: participants and rows on each side of every fold, per medication."""
+    return cv.fold_counts(_with_folds(spark, sf_dir), "participant_id", by="drug")
 
 
 @query("encoded_features", f"""
 WITH {MT_SQL},
-mt1 AS (SELECT * FROM mt WHERE drug = 'ART'),
 lv AS (SELECT list(DISTINCT chunk ORDER BY chunk) AS chunks, list(DISTINCT participant_id ORDER BY participant_id) AS parts,
-              list(DISTINCT cluster ORDER BY cluster) AS cls FROM mt1)
-SELECT row_id, chunk, CAST(list_position(lv.chunks, chunk) - 1 AS BIGINT) AS chunk_code,
+              list(DISTINCT cluster ORDER BY cluster) AS cls FROM mt)
+SELECT drug, row_id, chunk, CAST(list_position(lv.chunks, chunk) - 1 AS BIGINT) AS chunk_code,
        CAST(list_position(lv.parts, participant_id) - 1 AS BIGINT) AS participant_code,
        {', '.join(f"CASE WHEN cluster = {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cluster_{c}" for c in range(FIXED_K))}
-FROM mt1 CROSS JOIN lv
+FROM mt CROSS JOIN lv
 """)
 def encoded_features_q(spark, sf_dir):
     """Label codes of chunk and participant (sorted levels), one-hot clusters."""
-    mt = modelling_table(spark, sf_dir, drugs=("ART",)).persist()
+    mt = modelling_table(spark, sf_dir).persist()
     mt = label_encode(mt, "chunk", "chunk_code")
     mt = label_encode(mt, "participant_id", "participant_code")
     mt, names = one_hot(mt, "cluster", "cluster", levels(mt, "cluster"))
-    return mt.select("row_id", "chunk", "chunk_code", "participant_code", *names)
+    return mt.select("drug", "row_id", "chunk", "chunk_code", "participant_code", *names)
 
 
 @query("interaction_design", f"""
-WITH {MT_SQL},
-mt1 AS (SELECT * FROM mt WHERE drug = 'ART')
-SELECT row_id,
+WITH {MT_SQL}
+SELECT drug, row_id,
   {', '.join(f"CASE WHEN chunk = '{c}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"C(Chunk)[T.{c}]\"" for c in ['after2', 'before'])},
   {', '.join(f"CASE WHEN cluster = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"C(Cluster)[T.{k}]\"" for k in range(1, FIXED_K))},
   {', '.join(f"CASE WHEN chunk = '{c}' AND cluster = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"C(Chunk)[T.{c}]:C(Cluster)[T.{k}]\"" for c in ['after2', 'before'] for k in range(1, FIXED_K))}
-FROM mt1
+FROM mt
 """)
 def interaction_design_q(spark, sf_dir):
     """Treatment-coded chunk and cluster with all chunk x cluster products."""
-    mt = modelling_table(spark, sf_dir, drugs=("ART",))
+    mt = modelling_table(spark, sf_dir)
     mt, names = interaction_code(mt, "chunk", "cluster", "C(Chunk)", "C(Cluster)")
-    return mt.select("row_id", *[F.col(f"`{n}`") for n in names])
+    return mt.select("drug", "row_id", *[F.col(f"`{n}`") for n in names])
 
 
 def _baseline_sql() -> str:
     return f"""{MT_SQL},
-{_recursive_folds_sql("(SELECT * FROM mt WHERE drug = 'ART')", 'participant_id')},
-j AS (SELECT mt.*, folds.fold FROM mt JOIN folds ON folds.gid = mt.participant_id),
+{_drug_folds_sql()},
+j AS (SELECT mt.*, folds.fold FROM mt JOIN folds ON folds.gid = mt.participant_id AND folds.drug = mt.drug),
 fl AS (SELECT DISTINCT fold FROM folds),
 tr AS (SELECT d.drug, fl.fold, avg(j.adherence) AS mean_pred, median(j.adherence) AS median_pred
        FROM (SELECT DISTINCT drug FROM mt) d CROSS JOIN fl JOIN j ON j.drug = d.drug AND j.fold <> fl.fold GROUP BY ALL),
@@ -217,15 +221,8 @@ def baseline_comparison_q(spark, sf_dir):
 
 
 def _with_folds(spark, sf_dir):
-    """Modelling table of both medications with participant folds.
-
-    Folds come from one medication's rows (both have the same visits); the
-    table is persisted so the fold pass and the model pass share one build.
-    """
-    mt = modelling_table(spark, sf_dir).persist()
-    folds = cv.group_kfold(mt.filter(F.col("drug") == "ART"), "participant_id", 5)
-    # one row per participant: Spark picks broadcast or shuffle from its size
-    return mt.join(folds, "participant_id").persist()
+    """Modelling table of both medications, each with folds of its own participants."""
+    return cv.with_folds(modelling_table(spark, sf_dir).persist(), "participant_id", 5, by="drug").persist()
 
 
 _FLAT = [f"sim_{r}" for r in range(1, 6)] + ["chunk_encoded"] + [f"cluster_{c}" for c in range(FIXED_K)]
@@ -233,13 +230,13 @@ _FLAT = [f"sim_{r}" for r in range(1, 6)] + ["chunk_encoded"] + [f"cluster_{c}"
 
 @query("standardise_stats", f"""
 WITH RECURSIVE {MT_SQL},
-{_recursive_folds_sql("(SELECT * FROM mt WHERE drug = 'ART')", 'participant_id')},
+{_drug_folds_sql()},
 lv AS (SELECT list(DISTINCT chunk ORDER BY chunk) AS chunks FROM mt),
 feat AS (SELECT mt.drug, folds.fold,
                 {', '.join(f'mt.top{r}_similarity_score AS sim_{r}' for r in range(1, 6))},
                 CAST(list_position(lv.chunks, mt.chunk) - 1 AS DOUBLE) AS chunk_encoded,
                 {', '.join(f'CASE WHEN mt.cluster = {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cluster_{c}' for c in range(FIXED_K))}
-         FROM mt JOIN folds ON folds.gid = mt.participant_id CROSS JOIN lv),
+         FROM mt JOIN folds ON folds.gid = mt.participant_id AND folds.drug = mt.drug CROSS JOIN lv),
 lng AS (UNPIVOT feat ON {', '.join(_FLAT)} INTO NAME feature VALUE x),
 fl AS (SELECT DISTINCT fold AS train_fold FROM folds)
 SELECT lng.drug, fl.train_fold AS fold, lng.feature, {R4('avg(lng.x)')} AS mean, {R4('stddev_pop(lng.x)')} AS std
@@ -269,9 +266,9 @@ def standardise_stats_q(spark, sf_dir):
 
 @query("ridge_one_feature", f"""
 WITH RECURSIVE {MT_SQL},
-{_recursive_folds_sql("(SELECT * FROM mt WHERE drug = 'ART')", 'participant_id')},
+{_drug_folds_sql()},
 j AS (SELECT mt.drug, folds.fold, mt.top1_similarity_score AS x, mt.adherence AS y
-      FROM mt JOIN folds ON folds.gid = mt.participant_id),
+      FROM mt JOIN folds ON folds.gid = mt.participant_id AND folds.drug = mt.drug),
 fl AS (SELECT DISTINCT fold AS train_fold FROM folds),
 tr0 AS (SELECT j.drug, fl.train_fold AS fold, count(*) AS n, avg(j.x) AS mx, avg(j.y) AS my,
                stddev_pop(j.x) AS sx, sum(j.x * j.y) AS sxy
@@ -293,3 +290,31 @@ def ridge_one_feature_q(spark, sf_dir):
     mt = _with_folds(spark, sf_dir).withColumnRenamed("top1_similarity_score", "sim_1")
     m = ridge_cv(mt, "adherence", ["sim_1"], by="drug")
     return m.select("drug", "fold", *[r4(c).alias(c) for c in ("mae", "rmse", "r2")], "model")
+
+
+@query("baseline_ridge_ranking", f"""
+WITH RECURSIVE {_baseline_sql()},
+tr0 AS (SELECT j.drug, fl.fold, count(*) AS n, avg(j.top1_similarity_score) AS mx, avg(j.adherence) AS my,
+               stddev_pop(j.top1_similarity_score) AS sx, sum(j.top1_similarity_score * j.adherence) AS sxy
+        FROM j JOIN fl ON j.fold <> fl.fold GROUP BY ALL),
+rp AS (SELECT j.drug, j.fold, j.adherence AS y, greatest(0.0, least(1.0, my + (j.top1_similarity_score - mx)
+         * CASE WHEN sx = 0 THEN 0.0 ELSE ((sxy - n * mx * my) / sx) / (n + 1.0) / sx END)) AS p
+       FROM j JOIN tr0 USING (drug, fold)),
+every AS (SELECT drug, model, fold, mae, rmse FROM fm
+          UNION ALL SELECT drug, 'Ridge_Regression', fold, avg(abs(y - p)), sqrt(avg((y - p) * (y - p))) FROM rp GROUP BY drug, fold),
+total AS (SELECT drug, model, avg(mae) AS mae, stddev_pop(mae) AS mae_std, avg(rmse) AS rmse, stddev_pop(rmse) AS rmse_std
+          FROM every GROUP BY drug, model)
+SELECT drug AS Drug, model AS Model, {R4('mae')} AS MAE_mean, {R4('mae_std')} AS MAE_std, {R4('rmse')} AS RMSE_mean,
+       {R4('rmse_std')} AS RMSE_std, CASE WHEN model = 'Ridge_Regression' THEN 'Linear' ELSE 'Baseline' END AS Model_Type,
+       row_number() OVER (PARTITION BY drug ORDER BY mae, model) AS position FROM total
+""")
+def baseline_ridge_ranking_q(spark, sf_dir):
+    """The comparison, best MAE first, of the baselines and the one-feature ridge, both medications."""
+    from notewise.operators.compare import compare_models
+    from notewise.operators.models import ridge_cv
+
+    mt = _with_folds(spark, sf_dir).withColumnRenamed("top1_similarity_score", "sim_1")
+    s = compare_models({"baselines": ("Baseline", lambda: baselines(mt, "adherence", "drug")),
+                        "ridge": ("Linear", lambda: ridge_cv(mt, "adherence", ["sim_1"], by="drug"))})
+    return s.select(F.col("drug").alias("Drug"), F.col("model").alias("Model"),
+                    *[r4(c).alias(c) for c in ("MAE_mean", "MAE_std", "RMSE_mean", "RMSE_std")], "Model_Type", "position")

@@ -61,6 +61,7 @@ def _dims_sql(d: int) -> str:
     return f"SELECT vec_id, {cols}, CAST(list_sum(CAST(embedding AS DOUBLE[])) AS DOUBLE) AS total FROM embeddings"
 
 
+# Width of the given embeddings; the query takes it from the data.
 EMB_DIMS = 64
 
 
@@ -70,7 +71,7 @@ EMB_DIMS = 64
 def embedding_dims(spark, sf_dir):
     """Array -> dim_0..dim_{d-1} columns and back (the round trip sums agree)."""
     emb = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    wide = array_to_dims(emb, "embedding", EMB_DIMS)
+    wide = array_to_dims(emb, "embedding")
     back = dims_to_array(wide, "dim_", out="vec")
     tot = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
     return wide.join(back.select("vec_id", r4(tot).alias("total")), "vec_id")

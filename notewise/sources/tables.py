@@ -66,10 +66,12 @@ def dims_to_array(df: DataFrame, prefix: str = "dim_", out: str = "embedding") -
     return df.select(*rest, F.array(*[F.col(c).cast("double") for c in dims]).alias(out))
 
 
-def array_to_dims(df: DataFrame, col: str, dim: int, prefix: str = "dim_") -> DataFrame:
-    """Array column -> ``dim_0..dim_{dim-1}`` double columns."""
+def array_to_dims(df: DataFrame, col: str, dim: int | None = None, prefix: str = "dim_") -> DataFrame:
+    """Array column -> ``dim_0..dim_{dim-1}`` double columns; ``dim`` defaults to the longest array."""
+    if dim is None:
+        dim = int(df.agg(F.max(F.size(col))).first()[0] or 0)
     rest = [c for c in df.columns if c != col]
-    return df.select(*rest, *[F.col(col)[i].cast("double").alias(f"{prefix}{i}") for i in range(dim)])
+    return df.select(*rest, *[F.get(F.col(col), F.lit(i)).cast("double").alias(f"{prefix}{i}") for i in range(dim)])
 
 
 def write_csv(df: DataFrame, path: str, digits: int | None = None, mode: str = "overwrite") -> None:
