@@ -43,8 +43,8 @@ LIST = 50_000
 BLOCK = 2_048
 GROUP_BYTES = 4 << 20
 #: Least and most cells of the parity bitmap that rules out far pairs before the filters of orders 2 and 3; a set has
-#: at least two cells a shingle between these.
-BITS, MOST_BITS = 1_024, 65_536
+#: at least one cell a shingle between these.
+BITS, MOST_BITS = 512, 32_768
 #: Bytes of joined rows that are compared at once.
 SLICE_BYTES = 8 << 20
 #: Ids that are broadcast at most to pick documents; more are joined by a shuffle.
@@ -144,7 +144,7 @@ def _parities(h: np.ndarray) -> bytes:
 
     Cells that differ between two sets are no more than the shingles that only one holds.
     """
-    cells = min(MOST_BITS, max(BITS, 1 << (2 * len(h) - 1).bit_length()))
+    cells = min(MOST_BITS, max(BITS, 1 << (len(h) - 1).bit_length()))
     odd = np.bincount((h & U(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
