@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from notewise.functions.text import clean_text
-from notewise.operators.search import MAX_BROADCAST_BYTES, _corpus_matrix, _topk_arrow, corpus_plan
+from notewise.operators.search import MAX_BROADCAST_BYTES, fits_broadcast, top_k
 
 
 def read_notes(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -33,12 +33,9 @@ def search_stream(notes: DataFrame, corpus: DataFrame, query_id: str, query_vec:
     The corpus is read once (batch), size-checked and broadcast; a corpus
     above the bound would need a stateful merge, so it is refused here.
     """
-    n, d, chunks = corpus_plan(corpus, corpus_vec, max_bytes)
-    if chunks > 1:
+    if not fits_broadcast(corpus, corpus_vec, max_bytes):
         raise ValueError("streaming search needs a corpus within the broadcast bound")
-    ids, mat = _corpus_matrix(corpus, corpus_id, corpus_vec)
-    qtype = notes.schema[query_id].dataType
-    return _topk_arrow(notes, query_id, query_vec, ids, mat, k, notes.sparkSession.sparkContext, qtype)
+    return top_k(notes, corpus, query_id, query_vec, corpus_id, corpus_vec, k, max_bytes)
 
 
 def clean_stream(notes: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -42,6 +42,7 @@ def test_composite_in_unit_range_and_sizes(spark):
     assert comps and all(0.0 <= c <= 1.0 for c in comps)
     assert all(r.min_cluster_size <= r.max_cluster_size for r in s)
     folds = entry.queries()["fold_counts"](spark, SF0001)
-    tot = folds.agg(F.sum("n_test_samples"), F.min(F.col("n_train_samples") + F.col("n_test_samples")),
-                    F.max(F.col("n_train_samples") + F.col("n_test_samples"))).first()
-    assert tot[0] == tot[1] == tot[2]
+    both = F.col("n_train_samples") + F.col("n_test_samples")
+    totals = folds.groupBy("drug").agg(F.sum("n_test_samples").alias("t"), F.min(both).alias("lo"), F.max(both).alias("hi"))
+    rows = totals.collect()
+    assert {r.drug for r in rows} == {"ART", "BDQ"} and all(r.t == r.lo == r.hi for r in rows)
