@@ -8,15 +8,14 @@ the two smallest totals that is narrower than ``min_margin`` is a rejection.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: rows of a language, and characters of a row.
+#: Bound of the training sample: rows of a language.
 SAMPLE_ROWS = 256
+#: Characters of a piece; a row of the sample is a piece of a text, drawn from all pieces of all texts by hash.
 SAMPLE_CHARS = 2_048
 #: Bytes of a dictionary.
 DICT_BYTES = 48 << 10
@@ -27,13 +26,12 @@ PARAMETERS = {"window_log": 18, "hash_log": 15, "chain_log": 15, "search_log": 2
 #: Narrowest margin, as a share of the second smallest size, that is not rejected.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def letters(text: str | None) -> bytes:
     """UTF-8 of the lower-case text with runs of other ASCII than letters as single spaces; empty without letters."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return b""
     return b" ".join(text.lower().encode().translate(_ASCII).split())
 
@@ -47,13 +45,17 @@ def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str =
                        sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """Raw dictionary content of every language in ``train``.
 
-    Uses at most ``sample_rows`` rows of a language (smallest hash of id and
-    text) and ``SAMPLE_CHARS`` characters of each.
+    Whole texts are cut into pieces of ``SAMPLE_CHARS`` characters, and a language
+    learns from at most ``sample_rows`` of its pieces: those with the smallest hash of
+    id, place and piece, so every part of a text can teach.
     """
-    part = F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)
-    rows = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), part.alias("text"),
-        F.xxhash64(F.col(id_col).cast("string"), part).alias("order"))
+    text = F.col(text_col).cast("string")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("whole") - 1), F.lit(SAMPLE_CHARS))
+    part = F.substring("whole", F.col("at") + 1, F.lit(SAMPLE_CHARS))
+    rows = train.filter(F.col(lang_col).isNotNull() & text.isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), text.alias("whole")) \
+        .withColumn("at", F.explode(starts)) \
+        .select("lang", part.alias("text"), F.xxhash64("id", "at", part).alias("order"))
     top = Window.partitionBy("lang").orderBy("order", "text")
     picked = rows.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= sample_rows) \
         .orderBy("lang", "n").collect()

@@ -155,7 +155,7 @@ def test_parity_bitmaps_and_forest():
 
 def test_language_id(docs, corpus, nothing):
     rows = {r["doc_id"]: r for r in language_id.language_id(docs).collect()}
-    assert all(rows[r[0]]["lang_pred"] == "und" for r in corpus if r[1] is None or not re.search(r"[^\W\d_]", r[1]))
+    assert all(rows[r[0]]["lang_pred"] == "und" for r in corpus if not any(c.isalpha() for c in r[1] or ""))
     assert all(0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de", "und") for r in rows.values())
     assert language_id.language_id(nothing).count() == 0
 
