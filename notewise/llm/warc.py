@@ -158,15 +158,17 @@ def parse_arc(raw: bytes):
     """Records of an ARC file: dicts of the named fields, ``version``, ``number`` and ``body``.
 
     The version block comes first (its URL begins with ``filedesc://``) and sets how
-    many fields the following header lines have; URLs of old files may hold blanks, so
-    fields are split from the right.
+    many fields the following header lines have; later records may have such a URL too
+    and are records like others.  URLs of old files may hold blanks, so fields are split
+    from the right.
     """
-    stream, version, number = Stream(raw), 1, 0
+    stream, version, number, first = Stream(raw), 1, 0, True
     while (line := stream.line()) is not None:
         if not line.strip():
             continue
         text = line.decode("utf-8", "replace")
-        if text.startswith("filedesc://"):
+        opening, first = first, False
+        if opening and text.startswith("filedesc://"):
             parts = text.split(" ")
             body = stream.take(int(parts[-1]))
             version = int(body.split(b" ", 1)[0])
