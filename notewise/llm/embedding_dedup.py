@@ -54,6 +54,8 @@ def _emit(batches):
         for d in np.unique(dim):
             at = np.flatnonzero(dim == d)
             x = np.array([vectors[int(i)].as_py() for i in at], float).reshape(len(at), d)
+            # by the largest component first, so that squares neither overflow nor vanish
+            x = x / np.abs(x).max(1)[:, None]
             unit = x / np.sqrt((x * x).sum(1))[:, None]
             keys = _hashes(unit, label[at])
             keep.extend(at)
@@ -167,8 +169,10 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("rep", "table", "bucket", "block", F.least("block", "other").alias("low"),
                 F.greatest("block", "other").alias("high"))
-    size = hashed.agg(F.count("*"), F.max("dim")).first()
-    groups = 1 + (size[0] * TABLES * (8 * (size[1] or 0) + 8 * TABLES + 64)) // GROUP_BYTES
+    # a member of a bucket of several blocks is sent once for each of them
+    sent = full.agg(F.sum(F.col("n") * blocks)).first()[0] or 0
+    width = hashed.agg(F.max("dim")).first()[0] or 0
+    groups = 1 + int(sent) * (8 * width + 8 * TABLES + 64) // GROUP_BYTES
     found = met.join(hashed, "rep").withColumn("group", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups))) \
         .groupBy("group").applyInArrow(_compare(threshold), "rep long, links long, root long")
     found = put(found, "found")
