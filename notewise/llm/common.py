@@ -61,6 +61,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(name: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def empty(df: DataFrame) -> bool:
     return not df.take(1)
 

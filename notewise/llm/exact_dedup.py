@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewise.llm.common import drop, put, release
+from notewise.llm.common import drop, fresh, put, release
 
 BLOCK_BYTES = 4096
 #: Bytes of distinct blocks that a task holds before it starts a new window of local names.
@@ -146,14 +146,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with all their columns.
 
     A row is found again by its id and the SHA-256 of its text, so rows that
-    repeat both count as one.
+    repeat both count as one, whose other columns are those of any one of them.
+    Columns of any name pass through.
     """
+    kept_id, kept_sha, own = fresh("kept_id"), fresh("kept_sha"), fresh("sha")
     kept = exact_dedup(docs, id_col, text_col).filter("kept") \
-        .select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+        .select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     kept = put(kept, "kept")
     release(docs.sparkSession)
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    met = docs.withColumn("_sha", sha).join(
-        kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    met = docs.withColumn(own, sha).join(
+        kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_sha)), "left_semi")
     # after the join, rows of one (id, text) lie together: no further exchange
-    return met.dropDuplicates([id_col, "_sha"]).select(*docs.columns)
+    return met.dropDuplicates([id_col, own]).select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewise.llm.common import put, rank_in_key
+from notewise.llm.common import fresh, put, rank_in_key
 
 BLOCK_ROWS = 16
 #: Default target weight of a source: its number of blocks to this power, scaled to a sum of one.
@@ -193,17 +193,23 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
 
 
 def places(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """Slot and position in the mix of every id and source of ``docs``, under the names that these have there."""
+    """Every id and source of ``docs``, under the names that these have there, with its slot and position in the mix.
+
+    These two come third and fourth, under names that no column of ``docs`` has.
+    Rows that repeat id and source share the first place that one of them has.
+    """
     return put(mix_sources(docs, id_col=id_col, source_col=source_col, **options)
                .groupBy(F.col("doc_id").alias(id_col), F.col("source").alias(source_col))
-               .agg(F.min("slot").alias("_slot"), F.min("position").alias("_position")), "mix")
+               .agg(F.min("slot").alias(fresh("slot")), F.min("position").alias(fresh("position"))), "mix")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """All rows of ``docs``, sorted by their place in the mix (files follow the schedule)."""
-    order = places(docs, id_col, source_col, **options) \
-        .withColumnsRenamed({id_col: "_mixed_id", source_col: "_mixed_source"})
-    met = docs.join(order, F.col(id_col).cast("long").eqNullSafe(F.col("_mixed_id"))
-                    & F.col(source_col).cast("string").eqNullSafe(F.col("_mixed_source")))
-    return met.repartitionByRange("_slot", "_position", F.col("_mixed_id")) \
-        .sortWithinPartitions("_slot", "_position", "_mixed_id").select(*docs.columns)
+    """All rows of ``docs``, sorted by their place in the mix (files follow the schedule); columns of any name pass through."""
+    found = places(docs, id_col, source_col, **options)
+    slot, position = found.columns[2:]
+    by_id, by_source = fresh("id"), fresh("source")
+    order = found.withColumnsRenamed({id_col: by_id, source_col: by_source})
+    met = docs.join(order, F.col(id_col).cast("long").eqNullSafe(F.col(by_id))
+                    & F.col(source_col).cast("string").eqNullSafe(F.col(by_source)))
+    return met.repartitionByRange(slot, position, F.col(by_id)) \
+        .sortWithinPartitions(slot, position, by_id).select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewise.llm.common import components, drop, empty, put, release
+from notewise.llm.common import components, drop, empty, fresh, put, release
 from notewise.llm.tokens import U, buffers, mix, runs, shingles
 
 WORDS = 5
@@ -595,10 +595,15 @@ def _fits_sql(a: str, b: str) -> str:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component (the smallest id), with all their columns."""
+    """The rows of ``docs`` of which one stays for each component (the smallest id), with all their columns.
+
+    Rows that repeat an id stay or go together: they stay where one of them is its
+    component's smallest.  Columns of any name pass through.
+    """
+    gone_id = fresh("gone_id")
     mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = ngram_join(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_gone_id")) \
-        .agg(F.max(mine).alias("stays")).filter("NOT stays").select("_gone_id")
+    gone = ngram_join(docs, id_col, text_col).groupBy(F.col("doc_id").alias(gone_id)) \
+        .agg(F.max(mine).alias("stays")).filter("NOT stays").select(gone_id)
     gone = _some(gone)
     release(docs.sparkSession)
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
