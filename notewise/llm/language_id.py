@@ -50,12 +50,12 @@ def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str =
     id, place and piece, so every part of a text can teach.
     """
     text = F.col(text_col).cast("string")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("whole") - 1), F.lit(SAMPLE_CHARS))
-    part = F.substring("whole", F.col("at") + 1, F.lit(SAMPLE_CHARS))
+    # one pass over a text; substrings at rising offsets would read its head for every piece
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SAMPLE_CHARS}}}"), F.lit(0))
     rows = train.filter(F.col(lang_col).isNotNull() & text.isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), text.alias("whole")) \
-        .withColumn("at", F.explode(starts)) \
-        .select("lang", part.alias("text"), F.xxhash64("id", "at", part).alias("order"))
+        F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"),
+        F.posexplode(pieces).alias("at", "text")) \
+        .select("lang", "text", F.xxhash64("id", "at", "text").alias("order"))
     top = Window.partitionBy("lang").orderBy("order", "text")
     picked = rows.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= sample_rows) \
         .orderBy("lang", "n").collect()
