@@ -90,3 +90,11 @@ def test_density_topics_equal_direct_grouping(spark):
     want = {i: -1 if g is None or sizes[g] < least else int(g) for i, g in group.items()}
     got = {r.id: r.raw_topic for r in density_topics(_points(spark, x), "id", "v", eps, least).collect()}
     assert got == want and len(set(want.values())) >= 3
+
+
+def test_pairs_of_blocks_are_met_without_a_shuffle_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    found = pairs_within(_points(spark, rng.normal(size=(90, 3))), "id", "v", 0.3, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "FlatMapGroupsInArrow" not in plan
+    assert found.filter("id = nb").count() == 90  # every block met itself once
