@@ -98,3 +98,14 @@ def test_pairs_of_blocks_are_met_without_a_shuffle_of_their_own(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and "FlatMapGroupsInArrow" not in plan
     assert found.filter("id = nb").count() == 90  # every block met itself once
+
+
+def test_density_links_grow_with_the_rows_not_their_pairs(spark, monkeypatch):
+    from notewise.operators import topics
+
+    seen, plain = [], topics.connected_components
+    monkeypatch.setattr(topics, "connected_components", lambda e, *rest: seen.append(e.count()) or plain(e, *rest))
+    x = np.vstack([np.zeros((300, 2)), np.full((200, 2), 3.0), [[0.5, 0.0], [1.5, 0.0]]])
+    got = {r.id: r.raw_topic for r in topics.density_topics(_points(spark, x), "id", "v", 0.6, 100, block_rows=60).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{i: 300 for i in range(300, 500)}, 500: 0, 501: -1}
+    assert seen[0] < 500 * 9 * 2  # before: a row per pair, 130,000
