@@ -50,3 +50,11 @@ def test_a_round_is_one_job(spark):
         jobs[rounds] = len(sc.statusTracker().getJobIdsForGroup(f"lloyd-{rounds}"))
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[4] - jobs[1] == 3
+
+
+def test_project_2d_makes_its_vectors_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["project_2d"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan
+    assert "MapInArrow" not in plan.split("InMemoryRelation")[0]
